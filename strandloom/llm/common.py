@@ -52,7 +52,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    remove_path(df.sparkSession, df.stored_at)
 
 
 def small_enough(df: DataFrame, row_bytes: int) -> bool:
@@ -75,7 +82,7 @@ def map_batches(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(func, schema)
 
 
-def split_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def split_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with at most about most_bytes in a string or binary column (a longer value stands alone)."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))

@@ -115,7 +115,7 @@ class Segment:
         return out
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, segment_ids: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, segment_ids: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every whole text, each followed by end_id, in ascending order of document ids, as segments under path.
 
     A segment ends with the document that brings it to segment_ids.

@@ -30,8 +30,8 @@ PATTERNS = {
     "bytes": rf"{ENDINGS}| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+",
     "words": rf"{ENDINGS}|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+",
 }
-#: Distinct pre-tokens kept per process; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+#: Distinct pre-tokens kept per process in each of two generations (about 200 bytes each).
+CACHE_WORDS = 200_000
 
 
 def resolve(tokenizer: str) -> str:
@@ -51,15 +51,21 @@ def byte_letters() -> list[str]:
 
 
 class PieceIds(dict):
-    """Pre-token to ids, asked from the library's BPE model at first sight."""
+    """Pre-token to ids, asked from the library's BPE model at first sight; those not seen for two generations are forgotten."""
 
     def __init__(self, model):
         super().__init__()
         self.model, self.letters = model, dict(enumerate(byte_letters()))
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE_WORDS:
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
+        known = self.older.get(piece)
+        if known is not None:
+            self[piece] = known
+            return known
         as_bytes = piece.encode().decode("latin-1").translate(self.letters)
         ids = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(as_bytes)])
         return ids
