@@ -225,7 +225,8 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5,
     gone = repeated_lines(docs, similarity, least_words, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "fuzzy")).alias("__gone"))
     gone = stored(gone, "removed-lines").withColumnRenamed("doc_id", "__id")
     joined = keep.join(maybe_broadcast(gone, 96), F.col(id_col).cast("long") == F.col("__id"), "left").select(*(F.col(f"`{c}`") for c in keep.columns), "__gone")
-    place = keep.columns.index(text_col)
+    names = keep.columns
+    place = names.index(text_col)
 
     def run(batches):
         for batch in split_batches(batches, text_col):
@@ -238,7 +239,7 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5,
                 counts.append((len(lines), len(numbers) - fuzzy, fuzzy))
             arrays = batch.columns[:-1]
             arrays[place] = pa.array(texts, arrays[place].type)
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], [*keep.columns, *new])
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], [*names, *new])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema)
     return joined.mapInArrow(run, f"{schema}, n_lines long, n_exact long, n_fuzzy long")
