@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import maybe_broadcast, process_cache, split_batches, stored
-from strandloom.llm.near_groups import labelled, near_classes
+from strandloom.llm.near_groups import Joined, labelled, near_classes
 
 #: Bits in which SimHashes of linked lines may differ.
 MOST_BITS = 3
@@ -179,6 +179,21 @@ def similar(batches, least: float):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def connecting(table: pa.Table, least: float) -> pa.Table:
+    """Links (a, b) that join the classes of a group (id, class, simhash, line) as all links between its members would."""
+    ids, classes, lines = (table[c].to_pylist() for c in ("id", "class", "line"))
+    joined, a, b = Joined(classes), [], []
+    bits, group = table["simhash"].to_numpy().view(np.uint64), np.array(classes)
+    for i in range(len(ids) - 1):
+        close = (np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= MOST_BITS) & (group[i + 1 :] != group[i])
+        for j in (np.flatnonzero(close) + i + 1).tolist():
+            if joined.root(i) != joined.root(j) and edit_similarity(lines[i], lines[j], least) >= least:
+                joined.join(i, j)
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, fuzzy) of each line that is to be removed; fuzzy: not equal to the one that stays."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -189,9 +204,9 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
     fuzzy = nodes.where("simhash is not null")
     members = fuzzy.select(F.explode(block_keys(F.col("simhash"), fuzzy.count())).alias("key"), "id")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = nodes.join(ids, "id", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "id")).alias("wanted"))
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(id, line) of nodes, from the documents where they occur first."""
+        wanted = nodes.join(ids.distinct(), "id", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "id")).alias("wanted"))
         wanted = stored(wanted, "wanted")
 
         def texts(batches):
@@ -203,13 +218,20 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["id", "line"])
 
         lines = source.where("text is not null").join(maybe_broadcast(wanted, 96), "doc_id").select("text", "wanted")
-        lines = stored(lines.mapInArrow(texts, "id long, line binary"), "wanted-lines")
+        return stored(lines.mapInArrow(texts, "id long, line binary"), "wanted-lines")
+
+    def within(rows: DataFrame) -> DataFrame:
+        told = rows.join(texts_of(rows.select("id")), "id").join(fuzzy.select("id", "simhash"), "id")
+        return told.groupBy("key", "part").applyInArrow(lambda t: connecting(t, similarity), "a long, b long").distinct()
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        lines = texts_of(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))))
         told = lambda name: lines.select(F.col("id").alias(name), F.col("line").alias(f"{name}_line"))
         side = pairs.join(told("a"), "a").join(told("b"), "b").select("a", "b", "a_line", "b_line")
         return side.mapInArrow(lambda batches: similar(batches, similarity), "a long, b long").distinct()
 
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST_BITS
-    classes = near_classes(members, fuzzy.select("id", F.col("simhash").alias("sketch")), near, verify)
+    classes = near_classes(members, fuzzy.select("id", F.col("simhash").alias("sketch")), near, verify, within)
     placed = labelled(nodes, classes, "id")
     stays = placed.join(classes.select("id").distinct(), "id", "left_semi").groupBy("id_class").agg(F.min("first").alias("stays"))
     placed = placed.join(stays, "id_class", "left").withColumn("stays", F.coalesce("stays", "first"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import maybe_broadcast, process_cache, split_batches, stored
-from strandloom.llm.near_groups import labelled, near_classes
+from strandloom.llm.near_groups import Joined, labelled, near_classes
 
 SHINGLE = 5
 #: Bands and registers in each.  A pair of similarity 0.8 shares a band with probability 0.99995.
@@ -163,6 +163,44 @@ def linked(batches, similarity: float):
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def connecting(table: pa.Table, similarity: float) -> pa.Table:
+    """Links (a, b) that join the classes of a group (id, class, text) as all links between its members would."""
+    ids, classes = table["id"].to_pylist(), table["class"].to_pylist()
+    joined, a, b = Joined(classes), [], []
+    words = [words_of(t) for t in table["text"].to_pylist()]
+    doc, shingle, weight = weighted_shingles(words)
+    n = len(words)
+    size = np.bincount(doc, minlength=n)
+    total = np.bincount(doc, weights=weight, minlength=n)
+    repeats = np.zeros(n, dtype=bool)
+    repeats[doc[weight > 1]] = True
+    # shared shingles, and the sum of roots of products of probabilities, which the probability similarity can't exceed
+    both, roots = np.zeros((n, n), dtype=np.float32), np.zeros((n, n), dtype=np.float32)
+    kinds, column, uses = np.unique(shingle, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(uses[column] > 1)
+    order = shared[np.argsort(column[shared], kind="stable")]
+    place = np.searchsorted(np.unique(column[order]), column[order])
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        cut = slice(*np.searchsorted(place, [low, low + 4096]))
+        x = np.zeros((n, 4096), dtype=np.float32)
+        x[doc[order[cut]], place[cut] - low] = 1
+        both += x @ x.T
+        if repeats.any():
+            x[doc[order[cut]], place[cut] - low] = np.sqrt(weight[order[cut]] / total[doc[order[cut]]])
+            roots += x @ x.T
+    plain = both / np.maximum(size[:, None] + size[None] - both, 1)
+    maybe = (plain >= similarity) | ((repeats[:, None] | repeats[None]) & (roots >= similarity - 1e-3))
+    group = np.array(classes)
+    cut = np.searchsorted(doc, np.arange(n + 1))
+    one = lambda k: (shingle[cut[k] : cut[k + 1]], weight[cut[k] : cut[k + 1]])
+    for i, j in np.argwhere(np.triu(maybe & (group[:, None] != group[None]), 1)).tolist():
+        if joined.root(i) != joined.root(j) and max(similarities(one(i), one(j))) >= similarity:
+            joined.join(i, j)
+            a.append(min(ids[i], ids[j]))
+            b.append(max(ids[i], ids[j]))
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def document_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: the id and class_id, the least id of its class."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -180,10 +218,16 @@ def document_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "do
     repeated = bool(known.groupBy("doc_id").count().where("count > 1").take(1))
     own = stored(own.dropDuplicates(["f1", "f2"]) if repeated else own, "nodes")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        texts = source.join(maybe_broadcast(stored(ids.distinct(), "wanted"), 16), "doc_id", "left_semi")
+        return stored(texts.distinct() if repeated else texts, "wanted-texts")
+
+    def within(rows: DataFrame) -> DataFrame:
+        texts = texts_of(rows.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id")
+        return rows.join(texts, "id").groupBy("key", "part").applyInArrow(lambda t: connecting(t, similarity), "a long, b long").distinct()
+
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = stored(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-        texts = source.join(maybe_broadcast(wanted, 16), "doc_id", "left_semi")
-        texts = stored(texts.distinct() if repeated else texts, "wanted-texts")
+        texts = texts_of(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))))
         told = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"{name}_text"))
         side = pairs.join(told("a"), "a").join(told("b"), "b").select("a", "b", "a_text", "b_text")
         return side.mapInArrow(lambda batches: linked(batches, similarity), "a long, b long").distinct()
@@ -195,7 +239,7 @@ def document_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "do
     if repeated:  # texts of one doc_id are one document
         placed = known.join(nodes, ["f1", "f2"]).select("doc_id", F.col("id").alias("b")).distinct()
         given = placed.join(placed.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a <> b").select("a", "b")
-    classes = near_classes(own.select(F.explode("bands").alias("key"), "id"), own.select("id", "sketch"), near, verify, given)
+    classes = near_classes(own.select(F.explode("bands").alias("key"), "id"), own.select("id", "sketch"), near, verify, within, given)
     placed = labelled(nodes, classes, "id").select("f1", "f2", "id_class")
     found = every.select("doc_id", "f1", "f2").join(placed, ["f1", "f2"], "left")
     return found.select(F.col("doc_id").alias(id_col), F.when(F.col("doc_id").isNotNull(), F.coalesce("id_class", "doc_id")).alias("class_id"))

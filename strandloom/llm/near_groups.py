@@ -2,10 +2,11 @@
 
 Members of a bucket are compared with its centre, the member with the least id,
 first; what is found joined needs no more comparisons among itself, since a
-class is a connected component.  Only members that stay apart from their
-centre's class are compared with the bucket's other classes.  So every pair of a
-bucket is either compared or already connected: no link is lost, and a bucket
-of n copies costs n comparisons.
+class is a connected component.  Buckets whose other members are still of
+several classes are compared within, in groups of bounded size that hold both
+sides of each pair, and give only the links that join classes.  So every pair of
+a bucket is either compared or already connected: no link is lost, a bucket of n
+copies costs n comparisons, and no step makes a row for each pair.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import stored
 from strandloom.llm.components import components
 
+#: Members of a bucket on either side of a group in which all pairs meet, on average.
+CHUNK = 256
 
-def near_classes(members: DataFrame, sketches: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], given: DataFrame | None = None) -> DataFrame:
+
+def near_classes(members: DataFrame, sketches: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame], DataFrame], given: DataFrame | None = None) -> DataFrame:
     """(id, class) of all ids that are linked to another.
 
     members: (key, id), each key a bucket.  sketches: (id, sketch) with a cheap
     sketch of each id; near: of two columns of sketches, whether the pair may be
-    linked at all.  verify: of a stored table of pairs (a, b), those that are linked.  given: links
-    (a, b) that are known already.
+    linked at all.  verify: of a stored table of pairs (a, b), those that are linked.  within: of a
+    stored table (key, part, id, class), links (a, b) that connect the classes
+    of each (key, part) as all its links would.  given: links known already.
     """
     buckets = members.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
     inside = stored(members.join(buckets, "key").where("id <> centre").select("key", "id", "centre"), "buckets")
@@ -42,18 +47,38 @@ def near_classes(members: DataFrame, sketches: DataFrame, near: Callable[[str, s
     if apart.take(1):
         edges = stored(edges.unionAll(verify(apart)), "links")
         classes = stored(components(edges), "classes")
-    # then what is apart from its centre with the rest of the bucket
-    placed = labelled(labelled(inside, classes, "id"), classes, "centre")
-    outside = placed.where("id_class <> centre_class").select("key", F.col("id").alias("x"), F.col("id_class").alias("x_class"))
-    pairs = outside.join(placed.select("key", "id", "id_class"), "key").where("x_class <> id_class")
-    pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    rest = stored(close(pairs).select("a", "b").join(star, ["a", "b"], "left_anti"), "pairs")
+    # then the other members of a bucket among themselves, where they are of several classes
+    placed = labelled(inside.select("key", "id"), classes, "id")
+    mixed = placed.groupBy("key").agg(F.min("id_class").alias("low"), F.max("id_class").alias("high"), F.count("*").alias("n")).where("low <> high")
+    chunks = F.ceil(F.col("n") / CHUNK)
+    rows = placed.join(mixed.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    part = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
+    rest = stored(rows.select("key", part.alias("part"), "id", F.col("id_class").alias("class")), "mixed")
     if rest.take(1):
-        edges = stored(edges.unionAll(verify(rest)), "links")
+        edges = stored(edges.unionAll(within(rest)), "links")
         classes = stored(components(edges), "classes")
     return classes
 
 
+class Joined:
+    """Which members of a group are of one class so far."""
+
+    def __init__(self, classes: list[int]):
+        first: dict[int, int] = {}
+        self.of = [first.setdefault(c, k) for k, c in enumerate(classes)]
+
+    def root(self, k: int) -> int:
+        while self.of[k] != k:
+            self.of[k] = self.of[self.of[k]]
+            k = self.of[k]
+        return k
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        self.of[max(i, j)] = min(i, j)
+
+
 def labelled(df: DataFrame, classes: DataFrame, name: str) -> DataFrame:
     """df with the class of the id in column name; an id without links is its own class."""
     own = classes.select(F.col("id").alias(name), F.col("class").alias(f"{name}_class"))
