@@ -83,7 +83,7 @@ def placeless(h: Column) -> Column:
     return F.struct(none.alias("segment"), none.alias("start"), none.alias("len"), h["sequence"].alias("sequence"))
 
 
-def moved(hits: Column, segment: int, lost: Callable[[Column], Column], start: Callable[[Column], Column], sequence: Callable[[Column], Column] | None = None) -> Column:
+def moved(hits: Column, segment: int | Column, lost: Callable[[Column], Column], start: Callable[[Column], Column], sequence: Callable[[Column], Column] | None = None) -> Column:
     """Hits after an edit of a segment: if one of them is lost there, all lose their places, else starts change."""
     here = lambda h: h["segment"] == segment
     after = lambda h: F.struct(h["segment"].alias("segment"), start(h).cast("int").alias("start"), h["len"].alias("len"), (sequence(h) if sequence else h["sequence"]).alias("sequence"))

@@ -50,13 +50,16 @@ def cut_start(reads: Reads, segment: str, n: int, if_tag: str | None = None) ->
 
 def _shortened(reads: Reads, segment: str, size: Column, if_tag: str | None) -> Reads:
     """The first `size` letters; hits that end beyond lose their places in all rows that are that short."""
+    # in the body of a lambda a segment's name would mean the new segment beside it, so its size stands apart
+    reads = reads.with_df(reads.df.withColumn("_size", size))
+    size = F.col("_size")
     k = reads.index(segment)
     where = condition(reads, if_tag)
     left = lambda c: F.substring(c, F.lit(1), size)
     new = read(name(segment), left(seq(segment)), left(qual(segment)))
     columns = {segment: new if where is None else F.when(where, new).otherwise(F.col(f"`{segment}`"))}
     columns |= {f"t_{label}": moved(tag(label), k, lambda h: h["start"] + h["len"] > size, lambda h: h["start"]) for label in reads.locations()}
-    return reads.with_df(reads.df.withColumns(columns))
+    return reads.with_df(reads.df.withColumns(columns).drop("_size"))
 
 
 def cut_end(reads: Reads, segment: str, n: int, if_tag: str | None = None) -> Reads:
@@ -82,9 +85,11 @@ def postfix(reads: Reads, segment: str, bases: str, quality: str, if_tag: str |
 
 def reverse_complement_step(reads: Reads, segment: str, if_tag: str | None = None) -> Reads:
     k = reads.index(segment)
-    size = F.length(seq(segment))
+    reads = reads.with_df(reads.df.withColumn("_size", F.length(seq(segment))))
+    size = F.col("_size")
     turned = lambda _, v: moved(v, k, lambda h: F.lit(False), lambda h: size - h["start"] - h["len"], lambda h: reverse_complement(h["sequence"]))
-    return edited(reads, segment, reverse_complement(seq(segment)), F.reverse(qual(segment)), if_tag, turned)
+    out = edited(reads, segment, reverse_complement(seq(segment)), F.reverse(qual(segment)), if_tag, turned)
+    return out.with_df(out.df.drop("_size"))
 
 
 def quality_table(from_: str, to: str) -> tuple[str, str]:
@@ -178,27 +183,24 @@ def trim_at_tag(reads: Reads, label: str, direction: str, keep_tag: bool) -> Rea
     begin, end = first["start"], first["start"] + first["len"]
     several = F.size(tag(label)) > 1
     from_start = direction == "start"
-    cut = (begin if keep_tag else end) if from_start else (end if keep_tag else begin)
+    place = (begin if keep_tag else end) if from_start else (end if keep_tag else begin)
+    reads = reads.with_df(reads.df.withColumns({"_cut": place, "_here": first["segment"]}))
+    cut, here = F.col("_cut"), F.col("_here")
     columns: dict[str, Column] = {}
     for k, s in enumerate(reads.segments):
         part = (lambda c: F.substring(c, cut + 1, F.lit(1 << 30))) if from_start else (lambda c: F.substring(c, F.lit(1), cut))
         checked = F.when(several, F.raise_error(F.lit(f"TrimAtTag: several hits of {label}"))).otherwise(part(seq(s)))
-        columns[s] = F.when(first["segment"] == k, read(name(s), checked, part(qual(s)))).otherwise(F.col(f"`{s}`"))
+        columns[s] = F.when(here == k, read(name(s), checked, part(qual(s)))).otherwise(F.col(f"`{s}`"))
     for x in reads.locations():
         v = tag(x)
-        here = first["segment"]
         if x == label and not keep_tag:
             value = F.transform(v, placeless)
         elif from_start:
-            value = _moved_at(v, here, lambda h: h["start"] < cut, lambda h: h["start"] - cut)
+            value = moved(v, here, lambda h: h["start"] < cut, lambda h: h["start"] - cut)
         else:
-            value = _moved_at(v, here, lambda h: h["start"] + h["len"] > cut, lambda h: h["start"])
+            value = moved(v, here, lambda h: h["start"] + h["len"] > cut, lambda h: h["start"])
         columns[f"t_{x}"] = F.when(here.isNotNull(), value).otherwise(v)
-    return reads.with_df(reads.df.withColumns(columns))
-
-
-def _moved_at(hits: Column, segment: Column, lost, start) -> Column:
-    return moved(hits, segment, lost, start)
+    return reads.with_df(reads.df.withColumns(columns).drop("_cut", "_here"))
 
 
 def merge(reads: Reads, segment1: str, segment2: str, min_overlap: int, max_mismatch_rate: float, max_mismatch_count: int, no_overlap_strategy: str, reverse_complement_segment2: bool, concatenate_spacer: str = "", spacer_quality_char: int = 33, out_label: str | None = None) -> Reads:
@@ -220,12 +222,17 @@ def merge(reads: Reads, segment1: str, segment2: str, min_overlap: int, max_mism
     return out.with_df(out.df.drop("_merged"))
 
 
+def _on(segment: int):
+    return lambda h: h["segment"] == segment
+
+
 def _replaced(reads: Reads, label: str, letters, quality) -> dict[str, Column]:
     """Each segment with its located hits of a tag overwritten; hits are taken from the last to the first so that places hold."""
     columns = {}
     start = lambda h: h["start"]
     for k, s in enumerate(reads.segments):
-        here = F.filter(tag(label), lambda h, k=k: h["segment"] == k)
+        on_segment = _on(k)
+        here = F.filter(tag(label), on_segment)
         ordered = F.array_sort(here, lambda a, b: start(b) - start(a))
         both = F.struct(seq(s).alias("seq"), qual(s).alias("qual"))
 
@@ -236,7 +243,7 @@ def _replaced(reads: Reads, label: str, letters, quality) -> dict[str, Column]:
             return F.struct(put(acc["seq"], letters(h)).alias("seq"), put(acc["qual"], quality(h, old)).alias("qual"))
 
         new = F.aggregate(ordered, both, step)
-        columns[s] = F.when(F.exists(tag(label), lambda h, k=k: h["segment"] == k), read(name(s), new["seq"], new["qual"])).otherwise(F.col(f"`{s}`"))
+        columns[s] = F.when(F.exists(tag(label), on_segment), read(name(s), new["seq"], new["qual"])).otherwise(F.col(f"`{s}`"))
     return columns
 
 
