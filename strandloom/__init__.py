@@ -1 +1,11 @@
-"""Sequencing-read analytics as DataFrame transformations."""
+"""Sequencing-read analytics as DataFrame transformations.
+
+Functions that run on executors are pickled by value, so workers need no copy
+of the repository.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

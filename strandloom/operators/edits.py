@@ -247,19 +247,20 @@ def _replaced(reads: Reads, label: str, letters, quality) -> dict[str, Column]:
     return columns
 
 
-def store_tag_in_sequence(reads: Reads, label: str, ignore_missing: bool = True) -> Reads:
+def store_tag_in_sequence(reads: Reads, label: str, ignore_missing: bool = False) -> Reads:
     """Writes hits' sequences back at their places.
 
     Equal lengths keep the qualities; else each new base has the rounded mean
     of those it replaces (`B` for none).  Where a length changes, all tags of
-    the row lose their places on the segment.
+    the row lose their places on the segment.  A region without a place is an
+    error unless ignore_missing.
     """
     mean = lambda q: F.when(F.length(q) == 0, F.lit("B")).otherwise(F.chr(F.round(F.aggregate(F.split(q, ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c)) / F.length(q)).cast("long")))
     quality = lambda h, old: F.when(F.length(h["sequence"]) == h["len"], old).otherwise(F.repeat(mean(old), F.length(h["sequence"])))
     columns = _replaced(reads, label, lambda h: h["sequence"], quality)
     if not ignore_missing:
-        needed = lambda s, new: F.when(tag(label).isNull(), F.raise_error(F.lit(f"missing tag {label}"))).otherwise(new)
-        columns = {s: needed(s, new) for s, new in columns.items()}
+        lost = F.coalesce(F.exists(tag(label), lambda h: h["start"].isNull()), F.lit(False))
+        columns = {s: F.when(lost, F.raise_error(F.lit(f"StoreTagInSequence: a region of {label} has lost its place"))).otherwise(new) for s, new in columns.items()}
     grown = F.exists(tag(label), lambda h: h["start"].isNotNull() & (F.length(h["sequence"]) != h["len"]))
     for x in reads.locations():
         columns[f"t_{x}"] = F.when(F.coalesce(grown, F.lit(False)), F.transform(tag(x), placeless)).otherwise(tag(x))

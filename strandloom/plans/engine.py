@@ -171,12 +171,12 @@ def write_sides(reads: Reads, plan: Plan, prefix: str, groups: list[str], separa
             for g in groups if grouped else [""]:
                 rows = one(s.df, g)
                 if s.kind == "table":
-                    writers.write_table(rows, s.details["columns"], writers.file_name(prefix, [g, s.name], "tsv", "raw", separator))
+                    writers.write_table(rows, s.details["columns"], writers.file_name(prefix, [s.name, g], "tsv", "raw", separator))
                 elif s.kind == "tag reads":
-                    writers.write_reads(rows, writers.file_name(prefix, [g, s.name], "fq", "raw", separator), "fastq")
+                    writers.write_reads(rows, writers.file_name(prefix, [f"tag.{s.name}", g], "fq", "raw", separator), "fastq")
                 elif s.kind == "counts":
                     found = {r["key"]: r["count"] for r in rows.orderBy(F.desc("count"), F.lower("key")).toLocalIterator()}
-                    with open(writers.file_name(prefix, [g, s.name], "qr.json", "raw", separator), "w") as f:
+                    with open(writers.file_name(prefix, [s.name, g], "qr.json", "raw", separator), "w") as f:
                         json.dump(found, f, indent=2)
     made = {n: assembled(p) for n, p in parts.items()}
     if o.get("report_json") or o.get("report_html"):

@@ -171,7 +171,7 @@ def _merge(r: Reads, o: dict, c: Context) -> Reads:
     return edits.merge(r, *pair, o["min_overlap"], o["max_mismatch_rate"], o["max_mismatch_count"], strategy, o["reverse_complement_segment2"], o["concatenate_spacer"], byte(o["spacer_quality_char"]), o["out_label"])
 
 
-step("StoreTagInSequence", in_label=option(), ignore_missing=option(True))(lambda r, o, c: edits.store_tag_in_sequence(r, known(r, o["in_label"]), o["ignore_missing"]))
+step("StoreTagInSequence", in_label=option(), ignore_missing=option(False))(lambda r, o, c: edits.store_tag_in_sequence(r, known(r, o["in_label"]), o["ignore_missing"]))
 step("ReplaceTagWithLetter", in_label=option(), letter=option())(lambda r, o, c: edits.replace_tag_with_letter(r, known(r, o["in_label"]), chr(byte(o["letter"]))))
 COMMENTS = {"comment_separator": option("|"), "comment_insert_char": option(" ")}
 step("StoreTagInComment", in_label=option(), segment=option("all"), region_separator=option("_"), **COMMENTS)(lambda r, o, c: edits.store_tag_in_comment(r, known(r, o["in_label"]), only(r, o["segment"], True), chr(byte(o["comment_separator"])), chr(byte(o["comment_insert_char"])), o["region_separator"]))
@@ -225,12 +225,12 @@ def _duplicates(r: Reads, o: dict, c: Context) -> Reads:
     return tags.duplicates(r, source(r, o["source"]), o["out_label"])  # exact: no false positives
 
 
-@step("TagOtherFile", source=option(None, "segment"), filename=option(NEEDED, "filenames", "files"), false_positive_rate=option(0.0), seed=option(None), other_read_name_end_char=option(None), include_mapped=option(None), include_unmapped=option(None), out_label=option())
+@step("TagOtherFile", source=option(None, "segment"), filename=option(NEEDED, "filenames", "files"), false_positive_rate=option(0.0), seed=option(None), other_readname_end_character=option(None, "other_read_name_end_char", "other_readname_end_char"), include_mapped=option(None), include_unmapped=option(None), out_label=option())
 def _other(r: Reads, o: dict, c: Context) -> Reads:
     if o["false_positive_rate"] > 0 and o["seed"] is None:
         raise ConfigError("seed is needed with a false_positive_rate")
     what = source(r, o["source"])
-    return tags.other_file(r, what, c.read_side(listed(o["filename"])), o["out_label"], what.startswith("name:"), o["other_read_name_end_char"])
+    return tags.other_file(r, what, c.read_side(listed(o["filename"])), o["out_label"], what.startswith("name:"), o["other_readname_end_character"])
 
 
 step("ConcatTags", in_labels=option(), out_label=option(), separator=option(""), on_missing=option("merge_present"))(lambda r, o, c: tags.concat_tags(r, [known(r, x) for x in o["in_labels"]], o["out_label"], o["separator"], o["on_missing"]))

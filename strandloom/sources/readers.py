@@ -146,8 +146,9 @@ def numbered(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def read_fasta(spark: SparkSession, paths: list[str], fake_quality: str) -> DataFrame:
-    """Records of FASTA files; sequences may span lines; qualities are one letter repeated."""
+def read_fasta(spark: SparkSession, paths: list[str], fake_quality: str | int) -> DataFrame:
+    """Records of FASTA files; sequences may span lines; qualities are one letter (or byte) repeated."""
+    fake_quality = chr(fake_quality) if isinstance(fake_quality, int) else fake_quality
     if len(fake_quality) != 1:
         raise ConfigError("a FASTA file needs fasta_fake_quality, one letter")
     frames = []

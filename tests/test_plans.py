@@ -143,9 +143,9 @@ def test_run(spark, tmp_path, rows):
             wanted = [(n, b[cut:], q[cut:]) for n, b, q in long if {"AC": "ac", "GT": "gt"}.get(b[:2], "no-barcode") == g]
             assert raw.decode() == fastq(wanted)
             assert (tmp_path / f"out_{g}_{s}.fq.gz.uncompressed.sha256").read_text() == hashlib.sha256(raw).hexdigest()
-        table = (tmp_path / f"out_{g}_tags.tsv").read_text().splitlines()
+        table = (tmp_path / f"out_tags_{g}.tsv").read_text().splitlines()
         assert table[0] == "ReadName\tcode" and len(table) - 1 == len(wanted if g == "no-barcode" else table[1:])
-        counts = json.loads((tmp_path / f"out_{g}_codes.qr.json").read_text())
+        counts = json.loads((tmp_path / f"out_codes_{g}.qr.json").read_text())
         assert list(counts.values()) == sorted(counts.values(), reverse=True)
     report = json.loads((tmp_path / "out.json").read_text())
     assert report["before"]["molecule_count"] == len(long) and report["report_order"] == ["before", "after"]
