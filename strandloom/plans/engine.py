@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
+import sys
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +27,23 @@ def placed(base: str, path: str) -> str:
     return path if "://" in path or os.path.isabs(path) else os.path.join(base, path)
 
 
+#: The name of a file that stands for the standard input.
+STDIN = "--stdin--"
+
+
+def spooled() -> str:
+    """A file with what the standard input holds; on the driver's machine, so for a local master only."""
+    with tempfile.NamedTemporaryFile(prefix="strandloom-", delete=False) as f:
+        shutil.copyfileobj(sys.stdin.buffer, f)
+    atexit.register(os.unlink, f.name)
+    return f.name
+
+
 def opened(spark: SparkSession, plan: Plan, base: str) -> Reads:
     """The input's molecules."""
-    frames = {s: readers.read_file(spark, [placed(base, p) for p in paths], plan.input_options) for s, paths in plan.segments.items()}
+    if any(STDIN in paths for paths in plan.segments.values()) and (len(plan.segments) > 1 or list(plan.segments.values()) != [[STDIN]]):
+        raise ConfigError("the standard input is the only file of the only segment, or none")
+    frames = {s: readers.read_file(spark, [spooled() if p == STDIN else placed(base, p) for p in paths], plan.input_options) for s, paths in plan.segments.items()}
     if plan.interleaved:
         return readers.interleaved(next(iter(frames.values())), plan.interleaved)
     if len(frames) == 1:
@@ -80,7 +98,15 @@ def run(spark: SparkSession, toml: str, base: str = ".", allow_overwrite: bool =
     hashes = {"hash_raw": bool(o.get("output_hash_uncompressed")), "hash_compressed": bool(o.get("output_hash_compressed"))}
     groups = group_names(plan, reads, separator) or [""]
     marker = f"{prefix}.incompleted"
-    wanted = {} if kind == "none" else sequence_files(o, reads, prefix, kind, compression, groups, separator)
+    if o.get("stdout"):
+        if o.get("output") or o.get("chunksize") or kind == "bam":
+            raise ConfigError("stdout takes neither output, chunksize nor BAM")
+        wanted = {}
+        rows = records(reads.df, list(o["interleave"]) if isinstance(o.get("interleave"), list) else list(reads.segments))
+        for r in rows.orderBy("read_no", "place").select(writers.record_text(kind).alias("value")).toLocalIterator(prefetchPartitions=True):
+            print(r["value"])
+    else:
+        wanted = {} if kind == "none" else sequence_files(o, reads, prefix, kind, compression, groups, separator)
     os.makedirs(os.path.dirname(prefix) or ".", exist_ok=True)
     reports = [f"{prefix}.json"] if o.get("report_json") else []
     if not allow_overwrite:

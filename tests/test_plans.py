@@ -215,3 +215,18 @@ def test_stream(spark, tmp_path):
     once = streaming.without_duplicates(streaming.stream(spark, str(tmp_path / "in")))
     streaming.drain(once.df.select("read_no", "read1.seq"), str(tmp_path / "out"), str(tmp_path / "check"))
     assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["A", "AC", "ACG"]
+
+
+def test_standard_streams(spark, tmp_path, rows, monkeypatch, capsys):
+    import io
+    import types
+
+    from strandloom.__main__ import main
+
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(fastq(rows[:9]).encode())))
+    engine.run(spark, "[input]\nread1 = '--stdin--'\n[[step]]\naction = 'Head'\nn = 5\n[output]\nprefix = 'o'\nstdout = true\n", str(tmp_path))
+    assert capsys.readouterr().out == fastq(rows[:5])
+    (tmp_path / "a.toml").write_text(STEP.format("[[step]]\naction = 'Head'"))
+    assert main(["validate", str(tmp_path / "a.toml")]) == 1
+    assert "n is missing" in capsys.readouterr().err
+    assert main(["list-steps"]) == 0 and "ExtractIUPAC" in capsys.readouterr().out
