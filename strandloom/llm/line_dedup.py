@@ -2,7 +2,8 @@
 
 Lines are normalised: lower-cased, digits as 0, marks and white space as single
 spaces.  Equal normalised lines are one node.  A line of at least `least_words`
-words has a 64-bit SimHash of its words.  Two SimHashes that differ in at most
+words has a 64-bit SimHash of its distinct words, so that the words a language
+repeats don't make its lines alike.  Two SimHashes that differ in at most
 MOST_BITS bits agree in all but MOST_BITS of any blocks they are cut into, so
 lines are joined on every choice of that many blocks; there are so many blocks
 that unlike lines seldom meet, which changes the cost, never the result.  Pairs
@@ -20,7 +21,7 @@ the operator's own replace those of the same name.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,37 +29,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import maybe_broadcast, process_cache, split_batches, stored
+from strandloom.llm.common import maybe_broadcast, split_batches, stored
 from strandloom.llm.near_groups import Joined, labelled, near_classes
 
 #: Bits in which SimHashes of linked lines may differ.
 MOST_BITS = 3
+#: Lines of a bucket on either side of a group whose SimHashes are compared, on average.
+LINES = 1_024
 LINE_NORMAL = bytes(48 if 48 <= b <= 57 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-CACHED_WORDS = 200_000
 
 
-class WordBits(dict):
-    """A word's number in `table`, whose rows are the 64 bits of its hash as bytes 0 or 1."""
-
-    def __init__(self):
-        super().__init__()
-        self.table = np.zeros((CACHED_WORDS + 1, 8), dtype=np.uint64)
-        self.spread = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
-
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self)
-        self.table[k] = self.spread[list(xxhash.xxh3_64_digest(word))]
-        return k
+def line_words(line: str) -> list[bytes]:
+    return line.lower().encode().translate(LINE_NORMAL).split()
 
 
 def normal_line(line: str) -> bytes:
-    return b" ".join(line.lower().encode().translate(LINE_NORMAL).split())
+    return b" ".join(line_words(line))
 
 
 def simhashes(lines: list[list[bytes]]) -> np.ndarray:
     """The SimHash of each list of words: bit k is set if more than half of the words' hashes have it."""
-    cache = process_cache("line words")
-    bits = cache.get("bits") or cache.setdefault("bits", WordBits())
     out = np.zeros(len(lines), dtype=np.int64)
     at = 0
     while at < len(lines):  # some thousands of words at a time; a long line stands alone
@@ -67,32 +57,23 @@ def simhashes(lines: list[list[bytes]]) -> np.ndarray:
             words += len(lines[end])
             end += 1
         part = lines[at:end]
-        if len(bits) + words > CACHED_WORDS:
-            bits.clear()
-        if words > CACHED_WORDS:
-            out[at:end] = [simhash_of_long(w) for w in part]
-        elif words:
-            numbers = np.fromiter((k for w in part for k in map(bits.__getitem__, w)), np.int64, words)
+        if words:
+            hashes = np.frombuffer(b"".join([h for w in part for h in map(xxhash.xxh3_64_digest, w)]), np.uint8)
+            bits = np.unpackbits(hashes.reshape(-1, 8), axis=1).view(np.uint64)  # each bit as a byte
             size = np.array([len(w) for w in part])
             starts = np.cumsum(size) - size
-            cuts = np.concatenate([np.arange(s, s + n, 255) for s, n in zip(starts.tolist(), size.tolist(), strict=True) if n])
-            sums = np.add.reduceat(bits.table[numbers], cuts, axis=0).view(np.uint8).astype(np.int64)  # bytes count to 255
-            owner = np.searchsorted(np.cumsum(size), cuts, side="right")
+            cuts = np.concatenate([np.arange(s, s + n, 255) for s, n in zip(starts.tolist(), size.tolist(), strict=True) if n]) if size.max() > 255 else starts[size > 0]
+            sums = np.add.reduceat(bits, cuts, axis=0).view(np.uint8)  # bytes count to 255
             total = np.zeros((len(part), 64), dtype=np.int64)
-            np.add.at(total, owner, sums)
+            if size.max() > 255:
+                np.add.at(total, np.searchsorted(np.cumsum(size), cuts, side="right"), sums.astype(np.int64))
+            else:
+                total[size > 0] = sums
             out[at:end] = np.packbits(2 * total > size[:, None], axis=1).view(">i8")[:, 0]
         at = end
     return out
 
 
-def simhash_of_long(words: list[bytes]) -> int:
-    total = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(words), 10_000):
-        raw = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words[k : k + 10_000])), np.uint8)
-        total += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(axis=0)
-    return int(np.packbits(2 * total > len(words)).view(">i8")[0])
-
-
 def edit_similarity(a: bytes, b: bytes, least: float = 0.0) -> float:
     """1 - Levenshtein distance / longer length, of characters; 0.0 if lengths alone put it below `least`."""
     x, y = a.decode(), b.decode()
@@ -139,17 +120,16 @@ def lines_of(docs: DataFrame, least_words: int) -> DataFrame:
 
     def run(batches):
         for batch in split_batches(batches, "text", 2 << 20):
-            ids, numbers, owners, normal = batch.column(0).to_pylist(), [], [], []
+            ids, numbers, owners, words = batch.column(0).to_pylist(), [], [], []
             for doc_id, text in zip(ids, batch.column(1).to_pylist(), strict=True):
                 for k, line in enumerate(text.split("\n")) if text else ():
-                    if n := normal_line(line):
+                    if w := line_words(line):
                         numbers.append(k)
                         owners.append(doc_id)
-                        normal.append(n)
-            prints = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, normal)), np.int64).reshape(-1, 2)
-            words = [n.split(b" ") for n in normal]
+                        words.append(w)
+            prints = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, map(b" ".join, words))), np.int64).reshape(-1, 2)
             short = np.array([len(w) < least_words for w in words], dtype=bool)
-            hashes = simhashes(words)
+            hashes = simhashes([() if len(w) < least_words else set(w) for w in words])
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(hashes, mask=short)], ["doc_id", "line_no", "f1", "f2", "simhash"])
 
     return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line_no int, f1 long, f2 long, simhash long")
@@ -173,12 +153,58 @@ def block_keys(simhash, lines: int):
     return F.array(*keys)
 
 
+def line_buckets(nodes: DataFrame) -> DataFrame:
+    """(key, id, centre, near) of buckets of lines (id, simhash): those with one SimHash, and those which blocks of SimHashes bring together.
+
+    Blocks are joined for distinct SimHashes, whose centre is the least one, so
+    a bucket of two is known to be near or not before it makes any row.
+    """
+    spread = nodes.groupBy("simhash").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    hashes = stored(spread, "simhashes")
+    members = hashes.select(F.explode(block_keys(F.col("simhash"), hashes.count())).alias("key"), "simhash")
+    buckets = members.groupBy("key").agg(F.min("simhash").alias("low"), F.max("simhash").alias("high"), F.count("*").alias("n")).where("n > 2 or n = 2 and bit_count(low ^ high) <= %d" % MOST_BITS)
+    met = members.join(buckets.select("key", "low").hint("shuffle_hash"), "key")
+    centre = hashes.select(F.col("simhash").alias("low"), F.col("first").alias("centre"))
+    # a key has few distinct SimHashes; their lines, and the centre's other lines, are its members
+    near = (F.bit_count(F.col("simhash").bitwiseXOR(F.col("low"))) <= MOST_BITS).alias("near")
+    met = met.join(centre, "low").select("key", "simhash", "centre", near)
+    several = nodes.join(hashes.where("lines > 1").select("simhash", F.col("first").alias("centre")), "simhash").select(F.xxhash64("simhash", F.lit(-1)).alias("key"), "id", "centre", F.lit(True).alias("near"))
+    return met.join(nodes, "simhash").select("key", "id", "centre", "near").unionAll(several).where("id <> centre")
+
+
 def similar(batches, least: float):
     for batch in split_batches(batches, "a_line"):
         keep = [edit_similarity(x, y, least) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def with_partners(batches):
+    """Of rows (id, key, part, class, simhash) in order of (key, part), those that have a near one of another class in their (key, part)."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            now = np.stack([batch.column(c).to_numpy() for c in ("key", "part", "id", "class", "simhash")])
+            now = now if held is None else np.concatenate([held, now], axis=1)
+            whole = np.flatnonzero((now[:2] != now[:2, -1:]).any(axis=0))
+            end = whole[-1] + 1 if len(whole) else 0  # the last group may go on in the next batch
+            now, held = now[:, :end], now[:, end:]
+        elif held is None:
+            return
+        else:
+            now = held
+        n = now.shape[1]
+        keep, ahead = np.zeros(n, dtype=bool), np.arange(n)
+        bits = now[4].view(np.uint64)
+        for step in range(1, n):
+            ahead = ahead[ahead < n - step]
+            ahead = ahead[(now[:2, ahead] == now[:2, ahead + step]).all(axis=0)]
+            if not len(ahead):
+                break
+            near = ahead[(np.bitwise_count(bits[ahead] ^ bits[ahead + step]) <= MOST_BITS) & (now[3, ahead] != now[3, ahead + step])]
+            keep[near] = keep[near + step] = True
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in now[:, keep]], ["key", "part", "id", "class", "simhash"])
+
+
 def connecting(table: pa.Table, least: float) -> pa.Table:
     """Links (a, b) that join the classes of a group (id, class, simhash, line) as all links between its members would."""
     ids, classes, lines = (table[c].to_pylist() for c in ("id", "class", "line"))
@@ -202,11 +228,11 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
     nodes = every.groupBy("f1", "f2").agg(first, F.count("*").alias("n"), F.max("simhash").alias("simhash"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("id"), "f1", "f2", "first", "n", "simhash"), "distinct-lines")
     fuzzy = nodes.where("simhash is not null")
-    members = fuzzy.select(F.explode(block_keys(F.col("simhash"), fuzzy.count())).alias("key"), "id")
+    inside = stored(line_buckets(fuzzy.select("id", "simhash")), "buckets")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """(id, line) of nodes, from the documents where they occur first."""
-        wanted = nodes.join(ids.distinct(), "id", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "id")).alias("wanted"))
+        wanted = nodes.join(maybe_broadcast(stored(ids.distinct(), "wanted-ids"), 8), "id", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "id")).alias("wanted"))
         wanted = stored(wanted, "wanted")
 
         def texts(batches):
@@ -221,7 +247,9 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
         return stored(lines.mapInArrow(texts, "id long, line binary"), "wanted-lines")
 
     def within(rows: DataFrame) -> DataFrame:
-        told = rows.join(texts_of(rows.select("id")), "id").join(fuzzy.select("id", "simhash"), "id")
+        marked = rows.join(fuzzy.select("id", "simhash"), "id").repartition("key", "part").sortWithinPartitions("key", "part")
+        rows = stored(marked.mapInArrow(with_partners, "key long, part long, id long, class long, simhash long"), "partners")
+        told = rows.join(texts_of(rows.select("id")), "id")
         return told.groupBy("key", "part").applyInArrow(lambda t: connecting(t, similarity), "a long, b long").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -230,13 +258,13 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
         side = pairs.join(told("a"), "a").join(told("b"), "b").select("a", "b", "a_line", "b_line")
         return side.mapInArrow(lambda batches: similar(batches, similarity), "a long, b long").distinct()
 
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST_BITS
-    classes = near_classes(members, fuzzy.select("id", F.col("simhash").alias("sketch")), near, verify, within)
+    classes = near_classes(inside, verify, within)
     placed = labelled(nodes, classes, "id")
-    stays = placed.join(classes.select("id").distinct(), "id", "left_semi").groupBy("id_class").agg(F.min("first").alias("stays"))
-    placed = placed.join(stays, "id_class", "left").withColumn("stays", F.coalesce("stays", "first"))
+    linked = labelled(nodes.join(maybe_broadcast(classes.select("id").distinct(), 8), "id", "left_semi"), classes, "id")
+    stays = stored(linked.groupBy("id_class").agg(F.min("first").alias("stays")), "stays")
+    placed = placed.join(maybe_broadcast(stays, 24), "id_class", "left").withColumn("stays", F.coalesce("stays", "first"))
     touched = placed.where("n > 1 or stays <> first").select("f1", "f2", "stays", (F.col("stays") != F.col("first")).alias("fuzzy"))
-    gone = every.join(touched, ["f1", "f2"]).where(F.struct("doc_id", "line_no") != F.col("stays"))
+    gone = every.join(maybe_broadcast(stored(touched, "touched"), 48), ["f1", "f2"]).where(F.struct("doc_id", "line_no") != F.col("stays"))
     return gone.select("doc_id", "line_no", "fuzzy").distinct()
 
 
@@ -246,22 +274,11 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5,
     keep = docs.drop(*(c for c in new if c not in (id_col, text_col)))
     gone = repeated_lines(docs, similarity, least_words, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "fuzzy")).alias("__gone"))
     gone = stored(gone, "removed-lines").withColumnRenamed("doc_id", "__id")
-    joined = keep.join(maybe_broadcast(gone, 96), F.col(id_col).cast("long") == F.col("__id"), "left").select(*(F.col(f"`{c}`") for c in keep.columns), "__gone")
-    names = keep.columns
-    place = names.index(text_col)
-
-    def run(batches):
-        for batch in split_batches(batches, text_col):
-            texts, counts = [], []
-            for text, some in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                lines = text.split("\n") if text else []
-                numbers = {x["line_no"]: x["fuzzy"] for x in some or () if x["line_no"] < len(lines)}
-                texts.append("\n".join(x for k, x in enumerate(lines) if k not in numbers) if numbers else text)
-                fuzzy = sum(numbers.values())
-                counts.append((len(lines), len(numbers) - fuzzy, fuzzy))
-            arrays = batch.columns[:-1]
-            arrays[place] = pa.array(texts, arrays[place].type)
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], [*names, *new])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema)
-    return joined.mapInArrow(run, f"{schema}, n_lines long, n_exact long, n_fuzzy long")
+    joined = keep.join(maybe_broadcast(gone, 96), F.col(id_col).cast("long") == F.col("__id"), "left")
+    text, some = F.col(text_col), F.col("__gone")
+    lines = F.split(text, "\n", -1)
+    left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(some["line_no"], k)), "\n")
+    count = lambda fuzzy: F.when(some.isNull(), 0).otherwise(F.size(F.filter(some, lambda x: x["fuzzy"] == fuzzy))).cast("long")
+    columns = {c: F.when(some.isNotNull(), left).otherwise(text) if c == text_col else F.col(f"`{c}`") for c in keep.columns}
+    total = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(lines)).cast("long")
+    return joined.select(*(v.alias(c) for c, v in columns.items()), total.alias("n_lines"), count(False).alias("n_exact"), count(True).alias("n_fuzzy"))

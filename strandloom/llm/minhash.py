@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import maybe_broadcast, process_cache, split_batches, stored
-from strandloom.llm.near_groups import Joined, labelled, near_classes
+from strandloom.llm.common import maybe_broadcast, split_batches, stored
+from strandloom.llm.near_groups import Joined, labelled, near_classes, with_centres
 
 SHINGLE = 5
 #: Bands and registers in each.  A pair of similarity 0.8 shares a band with probability 0.99995.
@@ -41,15 +41,6 @@ MOST_BITS = 31
 #: Texts handled at a time; their number stands above a shingle's hash.
 TEXTS, HASH_BITS = 1000, 52
 NORMAL = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-CACHED_WORDS = 200_000
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -65,10 +56,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def weighted_shingles(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the text, hash of HASH_BITS bits, weight) of the distinct shingles of at most 4096 lists of words, sorted."""
-    hashes = process_cache("word hashes")
-    get = (hashes.get("all") or hashes.setdefault("all", WordHashes())).__getitem__
     sizes = np.array([len(w) for w in texts], dtype=np.int64)
-    flat = np.fromiter((h for w in texts for h in map(get, w)), np.uint64, int(sizes.sum()))
+    flat = np.frombuffer(b"".join([h for w in texts for h in map(xxhash.xxh3_64_digest, w)]), ">u8").astype(np.uint64)
     starts = np.cumsum(sizes) - sizes
     who = np.repeat(np.arange(len(texts)), sizes)
     n = np.maximum(len(flat) - SHINGLE + 1, 0)
@@ -239,7 +228,10 @@ def document_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "do
     if repeated:  # texts of one doc_id are one document
         placed = known.join(nodes, ["f1", "f2"]).select("doc_id", F.col("id").alias("b")).distinct()
         given = placed.join(placed.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a <> b").select("a", "b")
-    classes = near_classes(own.select(F.explode("bands").alias("key"), "id"), own.select("id", "sketch"), near, verify, within, given)
+    inside = with_centres(own.select(F.explode("bands").alias("key"), "id"))
+    sketch = lambda name: own.select(F.col("id").alias(name), F.col("sketch").alias(f"{name}_sketch"))
+    inside = inside.join(sketch("id"), "id").join(sketch("centre"), "centre").select("key", "id", "centre", near("id_sketch", "centre_sketch").alias("near"))
+    classes = near_classes(stored(inside, "buckets"), verify, within, given)
     placed = labelled(nodes, classes, "id").select("f1", "f2", "id_class")
     found = every.select("doc_id", "f1", "f2").join(placed, ["f1", "f2"], "left")
     return found.select(F.col("doc_id").alias(id_col), F.when(F.col("doc_id").isNotNull(), F.coalesce("id_class", "doc_id")).alias("class_id"))

@@ -13,31 +13,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import maybe_broadcast, stored
 from strandloom.llm.components import components
 
-#: Members of a bucket on either side of a group in which all pairs meet, on average.
+#: Members of a bucket on either side of a group in which all pairs meet, on average, if they come with texts.
 CHUNK = 256
 
 
-def near_classes(members: DataFrame, sketches: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame], DataFrame], given: DataFrame | None = None) -> DataFrame:
-    """(id, class) of all ids that are linked to another.
+def with_centres(members: DataFrame) -> DataFrame:
+    """(key, id, centre) of the members (key, id) of each bucket beside its centre, the least id."""
+    buckets = members.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return members.join(buckets.hint("shuffle_hash"), "key").where("id <> centre").select("key", "id", "centre")
 
-    members: (key, id), each key a bucket.  sketches: (id, sketch) with a cheap
-    sketch of each id; near: of two columns of sketches, whether the pair may be
-    linked at all.  verify: of a stored table of pairs (a, b), those that are linked.  within: of a
-    stored table (key, part, id, class), links (a, b) that connect the classes
-    of each (key, part) as all its links would.  given: links known already.
+
+def near_classes(inside: DataFrame, verify: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame], DataFrame], given: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(id, class) of all ids that are linked to another, as a stored table.
+
+    inside: a stored table (key, id, centre, near): each key a bucket, its
+    members beside its centre, and whether a member may be linked to the centre
+    at all.  verify: of a stored table of pairs (a, b), those that are linked.
+    within: of a stored table (key, part, id, class), links (a, b) that connect
+    the classes of each (key, part) as all its links would.  given: links known
+    already.  chunk: members on either side of such a group, on average.
     """
-    buckets = members.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    inside = stored(members.join(buckets, "key").where("id <> centre").select("key", "id", "centre"), "buckets")
-    own = lambda name: sketches.select(F.col("id").alias(name), F.col("sketch").alias(f"{name}_sketch"))
-    close = lambda pairs: pairs.join(own("a"), "a").join(own("b"), "b").where(near("a_sketch", "b_sketch"))
-    star = inside.groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
-    star = stored(close(star).select("a", "b", "shared"), "star")
+    star = inside.where("near").groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    star = stored(star, "star")
     # first each id with that centre alone with which it shares most buckets
     first = stored(star.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("least"))).alias("best")).select((-F.col("best.least")).alias("a"), "b"), "pairs")
     edges = stored(verify(first) if given is None else verify(first).unionAll(given), "links")
@@ -47,10 +50,10 @@ def near_classes(members: DataFrame, sketches: DataFrame, near: Callable[[str, s
     if apart.take(1):
         edges = stored(edges.unionAll(verify(apart)), "links")
         classes = stored(components(edges), "classes")
-    # then the other members of a bucket among themselves, where they are of several classes
+    # then the members of a bucket beside its centre among themselves, where they are of several classes
     placed = labelled(inside.select("key", "id"), classes, "id")
     mixed = placed.groupBy("key").agg(F.min("id_class").alias("low"), F.max("id_class").alias("high"), F.count("*").alias("n")).where("low <> high")
-    chunks = F.ceil(F.col("n") / CHUNK)
+    chunks = F.ceil(F.col("n") / chunk)
     rows = placed.join(mixed.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     part = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
@@ -82,7 +85,7 @@ class Joined:
 def labelled(df: DataFrame, classes: DataFrame, name: str) -> DataFrame:
     """df with the class of the id in column name; an id without links is its own class."""
     own = classes.select(F.col("id").alias(name), F.col("class").alias(f"{name}_class"))
-    return df.join(own, name, "left").withColumn(f"{name}_class", F.coalesce(f"{name}_class", name))
+    return df.join(maybe_broadcast(own, 16), name, "left").withColumn(f"{name}_class", F.coalesce(f"{name}_class", name))
 
 
 def across(pairs: DataFrame, classes: DataFrame) -> DataFrame:
