@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,13 +75,19 @@ def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def process_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, across tasks."""
-    home = sys.modules.setdefault("_strandloom_cache", types.ModuleType("_strandloom_cache"))
-    return home.__dict__.setdefault(name, {})
-
-
-def map_batches(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(func, schema)
+    """A dict that lives as long as the Python worker, across tasks, until a cache of another name is asked for.
+
+    So a worker that serves several operators in turn holds the tables of one.
+    """
+    home = sys.modules.setdefault("_strandloom_cache", types.ModuleType("_strandloom_cache")).__dict__
+    if home.get("name") != name:
+        others = home.get("name") is not None
+        home["name"], home["cache"] = name, {}
+        if others:
+            gc.collect()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)  # gives freed memory back
+    return home["cache"]
 
 
 def split_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

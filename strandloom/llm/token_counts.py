@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandloom.llm.common import process_cache, split_batches
+from strandloom.llm.common import split_batches
 from strandloom.llm.wordcache import WordCache, resolve
 
 #: Tokens on each side of a splice that both encodings must share.
@@ -105,9 +105,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     """Per row: the id, n_bytes (UTF-8), n_tokens as the tokenizer's library gives them for the whole text, over_limit (n_tokens > limit)."""
 
     def run(batches):
-        key = ("counter", tokenizer, chunk_chars, overlap_chars)
-        cache = process_cache("counters")
-        counter = cache.get(key) or cache.setdefault(key, Counter(tokenizer, chunk_chars, overlap_chars))
+        counter = Counter(tokenizer, chunk_chars, overlap_chars)
         for batch in split_batches(batches, text_col):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = np.array(counter.counts(texts), dtype=np.int64)
