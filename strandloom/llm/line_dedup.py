@@ -35,7 +35,7 @@ from strandloom.llm.near_groups import Joined, labelled, near_classes
 #: Bits in which SimHashes of linked lines may differ.
 MOST_BITS = 3
 #: Lines of a bucket on either side of a group whose SimHashes are compared, on average.
-LINES = 1_024
+LINES = 4_096
 LINE_NORMAL = bytes(48 if 48 <= b <= 57 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
@@ -258,7 +258,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
         side = pairs.join(told("a"), "a").join(told("b"), "b").select("a", "b", "a_line", "b_line")
         return side.mapInArrow(lambda batches: similar(batches, similarity), "a long, b long").distinct()
 
-    classes = near_classes(inside, verify, within)
+    classes = near_classes(inside, verify, within, chunk=LINES)
     placed = labelled(nodes, classes, "id")
     linked = labelled(nodes.join(maybe_broadcast(classes.select("id").distinct(), 8), "id", "left_semi"), classes, "id")
     stays = stored(linked.groupBy("id_class").agg(F.min("first").alias("stays")), "stays")
