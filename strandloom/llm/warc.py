@@ -135,21 +135,28 @@ def plain_records(data: bytes, offset: int, plain: bool):
         at = end
 
 
+def unpacked(data: bytes, at: int) -> tuple[bytes, int]:
+    """What the member at a place holds, and where it ends."""
+    unzip, view, parts = zlib.decompressobj(31), memoryview(data), []
+    while not unzip.eof:
+        if at >= len(data):
+            raise ValueError("a member without end")
+        parts.append(unzip.decompress(view[at : at + 65536]))
+        at += 65536
+    return b"".join(parts), min(at, len(data)) - len(unzip.unused_data)
+
+
 def salvage(data: bytes):
     """(record, None) for each record of an archive's bytes, and (None, (start, end, why)) for each gap."""
     at = 0
     while at < len(data):
         if data.startswith(MEMBER, at):
-            unzip = zlib.decompressobj(31)
             try:
-                plain = unzip.decompress(data[at:] if at else data)
-                if not unzip.eof:
-                    raise ValueError("a member without end")
+                plain, end = unpacked(data, at)
             except (zlib.error, ValueError) as e:
                 end = next_start(data, at + 1)
                 yield None, (at, end, f"member: {e}")
             else:
-                end = len(data) - len(unzip.unused_data)
                 for found, gap in plain_records(plain, at, False):
                     yield found, gap and (at, end, gap[2])
             at = end
