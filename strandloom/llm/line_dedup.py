@@ -6,10 +6,18 @@ words has a 64-bit SimHash of its distinct words, so that the words a language
 repeats don't make its lines alike.  Two SimHashes that differ in at most
 MOST_BITS bits agree in all but MOST_BITS of any blocks they are cut into, so
 lines are joined on every choice of that many blocks; there are so many blocks
-that unlike lines seldom meet, which changes the cost, never the result.  Pairs
-within MOST_BITS are linked if the edit similarity of the normalised lines,
-1 - distance / longer length, is at least `similarity`; classes are connected
-components (see near_groups).  Of each class the occurrence with the least
+that unlike lines seldom meet, which changes the cost, never the result.
+
+One changed word of an ordinary line flips more bits than that.  So if `reach`,
+the bits in which linked lines may differ, is more than MOST_BITS, lines are
+joined on blocks of words too: a line's distinct words are dealt by hash to so
+many blocks (WORD_BLOCKS), and lines that differ in fewer words than there are
+blocks have the same words in at least one; of those that differ in more words,
+most do.  Recall against all pairs is in the README.
+
+Pairs that met and are within `reach` are linked if the edit similarity of the
+normalised lines, 1 - distance / longer length, is at least `similarity`;
+classes are connected components (see near_groups).  Of each class the occurrence with the least
 (doc_id, line number) stays, in place and unchanged; the others are removed.
 
 Lines without words (empty, or marks only) are never removed.  Null and empty
@@ -32,8 +40,12 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import maybe_broadcast, split_batches, stored
 from strandloom.llm.near_groups import Joined, labelled, near_classes
 
-#: Bits in which SimHashes of linked lines may differ.
+#: Bits in which SimHashes may differ that blocks of bits bring together without loss.
 MOST_BITS = 3
+#: Bits in which SimHashes of lines of edit similarity 0.8 may differ: 99.9 % of the pairs, unlike lines seldom.
+REACH = 16
+#: Words are dealt to so many blocks in lines of fewer distinct words than this.
+WORD_BLOCKS = ((10, 4), (20, 5), (40, 7), (80, 9), (1 << 62, 12))
 #: Lines of a bucket on either side of a group whose SimHashes are compared, on average.
 LINES = 4_096
 LINE_NORMAL = bytes(48 if 48 <= b <= 57 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -74,6 +86,47 @@ def simhashes(lines: list[list[bytes]]) -> np.ndarray:
     return out
 
 
+def word_blocks(lines: list[list[bytes]]) -> pa.Array:
+    """Of each line of distinct words, a key of the words in each block that has any.
+
+    The number of blocks depends on the number of words; lines near such a bound
+    have the keys of both sides, so that those of 4 to 5 in words share one.
+    """
+    tops, blocks = np.array([t for t, _ in WORD_BLOCKS]), np.array([n for _, n in WORD_BLOCKS])
+    most = int(blocks.max())
+    out, ends, at = [np.empty(0, np.int64)], [np.zeros(1, np.int64)], 0
+    while at < len(lines):  # as simhashes
+        end, words = at, 0
+        while end < len(lines) and (end == at or words + len(lines[end]) <= 20_000):
+            words += len(lines[end])
+            end += 1
+        part = lines[at:end]
+        at = end
+        size = np.array([len(w) for w in part])
+        hashes = np.frombuffer(b"".join([h for w in part for h in map(xxhash.xxh3_64_digest, w)]), np.uint64)
+        high, low = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
+        owner = np.repeat(np.arange(len(part)), size)
+        keys, owners, before = [], [], np.zeros(len(part), dtype=np.int64)
+        for factor in (0.89, 1.0, 1.125):
+            n = blocks[np.searchsorted(tops, size * factor, side="right")]
+            own = np.flatnonzero((n != before)[owner])  # a number of blocks that the line has had gives nothing new
+            before, of = n, owner[own]
+            place = of * most + ((high[own] * np.uint64(0x9E3779B1) >> np.uint64(16)) % n[of].astype(np.uint64)).astype(np.int64)
+            length = len(part) * most
+            filled = np.flatnonzero(np.bincount(place, minlength=length))
+            sums = [np.bincount(place, x[own], length)[filled].astype(np.uint64) for x in (high, low)]  # exact up to 2^21 words
+            salt = (n[filled // most] * most + filled % most).astype(np.uint64)
+            key = (sums[0] * np.uint64(0x9E3779B97F4A7C15) ^ sums[1]) * np.uint64(0xC2B2AE3D27D4EB4F) + salt * np.uint64(0x165667B19E3779F9)
+            key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            keys.append((key ^ key >> np.uint64(32)).view(np.int64))
+            owners.append(filled // most)
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(owners, kind="stable")
+        out.append(keys[order])
+        ends.append(ends[-1][-1] + np.cumsum(np.bincount(owners, minlength=len(part))))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(out)))
+
+
 def edit_similarity(a: bytes, b: bytes, least: float = 0.0) -> float:
     """1 - Levenshtein distance / longer length, of characters; 0.0 if lengths alone put it below `least`."""
     x, y = a.decode(), b.decode()
@@ -115,8 +168,8 @@ def edit_similarity(a: bytes, b: bytes, least: float = 0.0) -> float:
     return 1 - distance / longer
 
 
-def lines_of(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, line_no, f1, f2, simhash) of each line with words; simhash is null for short ones."""
+def lines_of(docs: DataFrame, least_words: int, by_words: bool = False) -> DataFrame:
+    """(doc_id, line_no, f1, f2, simhash, blocks) of each line with words; simhash is null for short ones, blocks are the keys by words, if asked for."""
 
     def run(batches):
         for batch in split_batches(batches, "text", 2 << 20):
@@ -129,10 +182,12 @@ def lines_of(docs: DataFrame, least_words: int) -> DataFrame:
                         words.append(w)
             prints = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, map(b" ".join, words))), np.int64).reshape(-1, 2)
             short = np.array([len(w) < least_words for w in words], dtype=bool)
-            hashes = simhashes([() if len(w) < least_words else set(w) for w in words])
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(hashes, mask=short)], ["doc_id", "line_no", "f1", "f2", "simhash"])
+            compared = [() if len(w) < least_words else set(w) for w in words]
+            hashes = simhashes(compared)
+            blocks = pa.array([()] * len(words), pa.list_(pa.int64())) if not by_words else word_blocks(compared)
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(hashes, mask=short), blocks], ["doc_id", "line_no", "f1", "f2", "simhash", "blocks"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line_no int, f1 long, f2 long, simhash long")
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line_no int, f1 long, f2 long, simhash long, blocks array<long>")
 
 
 def block_keys(simhash, lines: int):
@@ -153,23 +208,20 @@ def block_keys(simhash, lines: int):
     return F.array(*keys)
 
 
-def line_buckets(nodes: DataFrame) -> DataFrame:
-    """(key, id, centre, near) of buckets of lines (id, simhash): those with one SimHash, and those which blocks of SimHashes bring together.
+def line_buckets(nodes: DataFrame, reach: int) -> DataFrame:
+    """(key, id, centre, near) of buckets of lines (id, simhash, blocks) which blocks of bits or of words bring together.
 
-    Blocks are joined for distinct SimHashes, whose centre is the least one, so
-    a bucket of two is known to be near or not before it makes any row.
+    Most keys have one line.  So keys are counted by 32 of their bits first, and
+    only lines whose bits repeat are dealt by key: a small part of the shuffle.
+    A bucket of two is known to be near or not before it makes any row.
     """
-    spread = nodes.groupBy("simhash").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
-    hashes = stored(spread, "simhashes")
-    members = hashes.select(F.explode(block_keys(F.col("simhash"), hashes.count())).alias("key"), "simhash")
-    buckets = members.groupBy("key").agg(F.min("simhash").alias("low"), F.max("simhash").alias("high"), F.count("*").alias("n")).where("n > 2 or n = 2 and bit_count(low ^ high) <= %d" % MOST_BITS)
-    met = members.join(buckets.select("key", "low").hint("shuffle_hash"), "key")
-    centre = hashes.select(F.col("simhash").alias("low"), F.col("first").alias("centre"))
-    # a key has few distinct SimHashes; their lines, and the centre's other lines, are its members
-    near = (F.bit_count(F.col("simhash").bitwiseXOR(F.col("low"))) <= MOST_BITS).alias("near")
-    met = met.join(centre, "low").select("key", "simhash", "centre", near)
-    several = nodes.join(hashes.where("lines > 1").select("simhash", F.col("first").alias("centre")), "simhash").select(F.xxhash64("simhash", F.lit(-1)).alias("key"), "id", "centre", F.lit(True).alias("near"))
-    return met.join(nodes, "simhash").select("key", "id", "centre", "near").unionAll(several).where("id <> centre")
+    keys = F.concat(block_keys(F.col("simhash"), nodes.count()), F.col("blocks"))
+    members = nodes.select(F.explode(keys).alias("key"), "id", "simhash").withColumn("part", F.shiftright("key", 32).cast("int"))
+    often = stored(members.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part"), "repeated-parts")
+    met = stored(members.join(maybe_broadcast(often, 8), "part", "left_semi").select("key", "id", "simhash"), "met")
+    buckets = met.groupBy("key").agg(F.min(F.struct("id", "simhash")).alias("centre"), F.min("simhash").alias("low"), F.max("simhash").alias("high"), F.count("*").alias("n")).where(f"n > 2 or n = 2 and bit_count(low ^ high) <= {reach}")
+    near = (F.bit_count(F.col("simhash").bitwiseXOR(F.col("centre.simhash"))) <= reach).alias("near")
+    return met.join(buckets.select("key", "centre").hint("shuffle_hash"), "key").where("id <> centre.id").select("key", "id", F.col("centre.id").alias("centre"), near)
 
 
 def similar(batches, least: float):
@@ -178,7 +230,7 @@ def similar(batches, least: float):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def with_partners(batches):
+def with_partners(batches, reach: int):
     """Of rows (id, key, part, class, simhash) in order of (key, part), those that have a near one of another class in their (key, part)."""
     held = None
     for batch in chain(batches, [None]):
@@ -200,18 +252,18 @@ def with_partners(batches):
             ahead = ahead[(now[:2, ahead] == now[:2, ahead + step]).all(axis=0)]
             if not len(ahead):
                 break
-            near = ahead[(np.bitwise_count(bits[ahead] ^ bits[ahead + step]) <= MOST_BITS) & (now[3, ahead] != now[3, ahead + step])]
+            near = ahead[(np.bitwise_count(bits[ahead] ^ bits[ahead + step]) <= reach) & (now[3, ahead] != now[3, ahead + step])]
             keep[near] = keep[near + step] = True
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in now[:, keep]], ["key", "part", "id", "class", "simhash"])
 
 
-def connecting(table: pa.Table, least: float) -> pa.Table:
+def connecting(table: pa.Table, least: float, reach: int) -> pa.Table:
     """Links (a, b) that join the classes of a group (id, class, simhash, line) as all links between its members would."""
     ids, classes, lines = (table[c].to_pylist() for c in ("id", "class", "line"))
     joined, a, b = Joined(classes), [], []
     bits, group = table["simhash"].to_numpy().view(np.uint64), np.array(classes)
     for i in range(len(ids) - 1):
-        close = (np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= MOST_BITS) & (group[i + 1 :] != group[i])
+        close = (np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= reach) & (group[i + 1 :] != group[i])
         for j in (np.flatnonzero(close) + i + 1).tolist():
             if joined.root(i) != joined.root(j) and edit_similarity(lines[i], lines[j], least) >= least:
                 joined.join(i, j)
@@ -220,15 +272,16 @@ def connecting(table: pa.Table, least: float) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text", reach: int = MOST_BITS) -> DataFrame:
     """(doc_id, line_no, fuzzy) of each line that is to be removed; fuzzy: not equal to the one that stays."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = stored(lines_of(source, least_words), "lines")
+    every = stored(lines_of(source, least_words, reach > MOST_BITS), "lines")
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    nodes = every.groupBy("f1", "f2").agg(first, F.count("*").alias("n"), F.max("simhash").alias("simhash"))
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("id"), "f1", "f2", "first", "n", "simhash"), "distinct-lines")
+    nodes = every.groupBy("f1", "f2").agg(first, F.count("*").alias("n"), F.max("simhash").alias("simhash"), F.first("blocks").alias("blocks"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("id"), "f1", "f2", "first", "n", "simhash", "blocks"), "distinct-lines")
     fuzzy = nodes.where("simhash is not null")
-    inside = stored(line_buckets(fuzzy.select("id", "simhash")), "buckets")
+    inside = stored(line_buckets(fuzzy.select("id", "simhash", "blocks"), reach), "buckets")
+    nodes = nodes.drop("blocks")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """(id, line) of nodes, from the documents where they occur first."""
@@ -248,9 +301,9 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
 
     def within(rows: DataFrame) -> DataFrame:
         marked = rows.join(fuzzy.select("id", "simhash"), "id").repartition("key", "part").sortWithinPartitions("key", "part")
-        rows = stored(marked.mapInArrow(with_partners, "key long, part long, id long, class long, simhash long"), "partners")
+        rows = stored(marked.mapInArrow(lambda batches: with_partners(batches, reach), "key long, part long, id long, class long, simhash long"), "partners")
         told = rows.join(texts_of(rows.select("id")), "id")
-        return told.groupBy("key", "part").applyInArrow(lambda t: connecting(t, similarity), "a long, b long").distinct()
+        return told.groupBy("key", "part").applyInArrow(lambda t: connecting(t, similarity, reach), "a long, b long").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         lines = texts_of(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))))
@@ -268,11 +321,14 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
     return gone.select("doc_id", "line_no", "fuzzy").distinct()
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the texts' repeated lines removed, and n_lines, n_exact and n_fuzzy removed ones; rows stay even if no line does."""
+def dedup_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text", reach: int = MOST_BITS) -> DataFrame:
+    """docs with the texts' repeated lines removed, and n_lines, n_exact and n_fuzzy removed ones; rows stay even if no line does.
+
+    reach: bits in which SimHashes of linked lines may differ; REACH for those of edit similarity 0.8.
+    """
     new = ["n_lines", "n_exact", "n_fuzzy"]
     keep = docs.drop(*(c for c in new if c not in (id_col, text_col)))
-    gone = repeated_lines(docs, similarity, least_words, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "fuzzy")).alias("__gone"))
+    gone = repeated_lines(docs, similarity, least_words, id_col, text_col, reach).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "fuzzy")).alias("__gone"))
     gone = stored(gone, "removed-lines").withColumnRenamed("doc_id", "__id")
     joined = keep.join(maybe_broadcast(gone, 96), F.col(id_col).cast("long") == F.col("__id"), "left")
     text, some = F.col(text_col), F.col("__gone")

@@ -43,7 +43,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, those removed because an equal or a similar one stays elsewhere, and the MD5 of what stays."""
-    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), reach=line_dedup.REACH)
     return kept.select("doc_id", "n_lines", "n_exact", "n_fuzzy", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 

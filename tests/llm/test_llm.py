@@ -420,6 +420,34 @@ def test_pigeonhole():
             assert same >= b - line_dedup.MOST_BITS
 
 
+def test_lines_by_words(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9)))
+    texts = []
+    for n in [5, 7, 9, 10, 14, 19, 20, 30, 45, 90] * 3:
+        w = [word() for _ in range(n)]
+        texts.append(" ".join(w))
+        w[rng.randrange(n)] = word()
+        texts.append(" ".join(w))
+    nodes = [line_dedup.normal_line(t) for t in texts]
+    bits = [b % 2**64 for b in line_dedup.simhashes([set(n.split()) for n in nodes]).tolist()]
+    links = [(i, j) for i in range(len(nodes)) for j in range(i) if line_dedup.edit_similarity(nodes[i], nodes[j]) >= 0.8]
+    assert sum((bits[i] ^ bits[j]).bit_count() > line_dedup.MOST_BITS for i, j in links) > 10
+    of = roots(links, len(nodes))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, reach=line_dedup.REACH).collect()}
+    stays = {min(k for k in range(len(nodes)) if of[k] == c) for c in set(of)}
+    assert {k for k, t in got.items() if t} == stays
+
+
+def test_word_blocks():
+    rng = random.Random(32)
+    for n in (5, 9, 12, 21, 60, 120):
+        a = [b"w%d" % rng.randrange(10**6) for _ in range(n)]
+        x, y, z = line_dedup.word_blocks([set(a), set([b"other", *a[1:]]), ()]).to_pylist()
+        assert set(x) & set(y) and not len(z)
+
+
 def test_lines(spark, none):
     rng = random.Random(13)
     base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(3, 60))) for _ in range(60)]
