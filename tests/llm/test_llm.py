@@ -198,6 +198,20 @@ def test_quality(spark, docs, none):
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_quality_of_a_capped_sample(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 8)))
+    loud = lambda p: " ".join(w.upper() + "!" if rng.random() < p else w for w in (word() for _ in range(60)))
+    df = spark.createDataFrame([(k, loud(rng.uniform(0.1, 0.6) if k % 8 == 0 else rng.uniform(0, 0.5))) for k in range(800)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 8 != 0)) for k in range(1000)], "doc_id long, quality int")
+    for most in (800, 80):
+        model = quality.learn(df, labels, most_labels=most)
+        rejected = np.mean([r.predicted == 0 for r in quality.score(df, model).collect() if not r.held_out])
+        assert abs(rejected - 1 / 8) < 0.08  # the share of worse ones, whatever the sample
+    values = np.array([3.0, 1.0, 2.0, 5.0])
+    assert quality.weighted_quantile(values, np.ones(4), 0.4) == pytest.approx(np.quantile(values, 0.4))
+
+
 # WARC
 
 
