@@ -312,6 +312,20 @@ ORACLE["calc_kmers"] = BASE + """, side as (select distinct unnest(list_transfor
     select name, cast(count(known.kmer) as double) as value from mine left join known using (kmer) group by read_no, name"""
 
 
+def calc_kmers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As calc_kmers with the names of all customers; of 10 bases, so that most k-mers aren't known."""
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    side = names.select(F.substring(F.translate(F.md5("c_name"), HEX, BASES), 1, 18).alias("seq"))
+    return valued(calc.kmers(reads(spark, sf_dir), "read1", side, 10, True, "v"), "v")
+
+
+QUERIES["calc_kmers_whole"] = calc_kmers_whole
+ORACLE["calc_kmers_whole"] = BASE + """, side as (select distinct unnest(list_transform(range(1, 10), lambda p: substr(s, p, 10))) as kmer from (select translate(md5(c_name), '0123456789abcdef', 'ACGTACGTACGTACGN') as s from customer)),
+    known as (select kmer from side where regexp_full_match(kmer, '[ACGT]+') union select reverse(translate(kmer, 'ACGT', 'TGCA')) from side where regexp_full_match(kmer, '[ACGT]+')),
+    mine as (select read_no, name, unnest(list_transform(range(1, length(seq) - 8), lambda p: substr(seq, p, 10))) as kmer from reads)
+    select name, cast(count(known.kmer) as double) as value from mine left join known using (kmer) group by read_no, name"""
+
+
 @query("select name, cast(case when length(seq) >= 24 then 8 else 0 end as double) as value from reads")
 def convert_regions_to_length(r):
     r = extract.regions(r, [Region("read1", 2, 4), Region("read1", 20, 4)], "parts")
