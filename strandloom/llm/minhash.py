@@ -13,6 +13,9 @@ registers are buckets of candidates (see near_groups); candidates are verified
 over whole texts: they are linked if the probability Jaccard similarity of
 their weighted shingles, or the Jaccard similarity of the plain ones, is at
 least `similarity`.  A class is a connected component.
+Candidates come from the probability Jaccard similarity alone: pairs whose plain
+Jaccard similarity reaches `similarity` by far less of the other (a passage that
+one of them repeats many times) are linked only where bands propose them.
 
 Words: lower-cased runs of digits, letters a-z and characters beyond ASCII.
 Documents without words (null, empty, or marks only) are classes of their own.
