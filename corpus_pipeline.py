@@ -8,7 +8,6 @@ training text.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, line_dedup, minhash, packing, quality
 from strandloom.llm.common import fresh_path
@@ -22,9 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occur elsewhere; those of which nothing with words is left go, unless they had none before."""
-    kept = line_dedup.dedup_lines(docs, reach=line_dedup.REACH)
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    return kept.where(worded | (F.col("n_exact") + F.col("n_fuzzy") == 0)).select(*docs.columns)
+    return line_dedup.drop_lines(docs, reach=line_dedup.REACH)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,14 +64,18 @@ def discard(df: DataFrame) -> None:
     remove_path(df.sparkSession, df.stored_at)
 
 
-def small_enough(df: DataFrame, row_bytes: int) -> bool:
-    """Whether a stored table is small enough to be broadcast."""
-    return df.count() * row_bytes <= BROADCAST_BYTES
+def small_enough(df: DataFrame, row_bytes: int, more=None) -> bool:
+    """Whether a stored table is small enough to be broadcast, by its rows and what `more` adds for each."""
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0)).alias("more")).first()
+    return found["n"] * row_bytes + found["more"] <= BROADCAST_BYTES
 
 
-def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are small enough, else a shuffled hash join's build side."""
-    return F.broadcast(df) if small_enough(df, row_bytes) else df.hint("shuffle_hash")
+def maybe_broadcast(df: DataFrame, row_bytes: int, more=None) -> DataFrame:
+    """df with a broadcast hint if its counted rows are small enough, else a shuffled hash join's build side.
+
+    more: bytes that a row has beside row_bytes, as a column, where that is not the same for all.
+    """
+    return F.broadcast(df) if small_enough(df, row_bytes, more) else df.hint("shuffle_hash")
 
 
 def process_cache(name: str) -> dict:

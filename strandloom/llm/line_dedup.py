@@ -9,16 +9,19 @@ lines are joined on every choice of that many blocks; there are so many blocks
 that unlike lines seldom meet, which changes the cost, never the result.
 
 One changed word of an ordinary line flips more bits than that.  So if `reach`,
-the bits in which linked lines may differ, is more than MOST_BITS, lines are
-joined on blocks of words too: a line's distinct words are dealt by hash to so
-many blocks (WORD_BLOCKS), and lines that differ in fewer words than there are
-blocks have the same words in at least one; of those that differ in more words,
-most do.  Recall against all pairs is in the README.
+the bits in which linked lines may differ, is more than MOST_BITS, the blocks
+are made of the words of which the SimHash is made (WORD_BLOCKS): a line's
+distinct words are dealt by hash to so many blocks, and lines that differ in few
+words have the same words in at least one.  A block of fewer words than its
+class asks for is no key, since unlike lines share it too often.  Short lines
+have a key for all words but each one as well, so any two that differ by one
+changed, added or missing word meet.  Recall against all pairs is in the README.
 
 Pairs that met and are within `reach` are linked if the edit similarity of the
 normalised lines, 1 - distance / longer length, is at least `similarity`;
-classes are connected components (see near_groups).  Of each class the occurrence with the least
-(doc_id, line number) stays, in place and unchanged; the others are removed.
+classes are connected components (see near_groups).  Of each class the
+occurrence with the least (doc_id, line number) stays, in place and unchanged;
+the others are removed.
 
 Lines without words (empty, or marks only) are never removed.  Null and empty
 texts stay as they are.  Rows with a null doc_id are not compared and stay as
@@ -36,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.llm.common import maybe_broadcast, split_batches, stored
 from strandloom.llm.near_groups import Joined, labelled, near_classes
@@ -44,10 +48,12 @@ from strandloom.llm.near_groups import Joined, labelled, near_classes
 MOST_BITS = 3
 #: Bits in which SimHashes of lines of edit similarity 0.8 may differ: 99.9 % of the pairs, unlike lines seldom.
 REACH = 16
-#: Words are dealt to so many blocks in lines of fewer distinct words than this.
-WORD_BLOCKS = ((10, 4), (20, 5), (40, 7), (80, 9), (1 << 62, 12))
+#: (distinct words below which a line is of this class, blocks, words a block must have to be a key).
+WORD_BLOCKS = ((11, 4, 2), (25, 6, 2), (50, 8, 3), (100, 12, 4), (1 << 62, 16, 4))
+#: Lines of fewer distinct words than this have keys of all words but one, too.
+SHORT = 11
 #: Lines of a bucket on either side of a group whose SimHashes are compared, on average.
-LINES = 4_096
+LINES = 16_384
 LINE_NORMAL = bytes(48 if 48 <= b <= 57 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
@@ -59,72 +65,92 @@ def normal_line(line: str) -> bytes:
     return b" ".join(line_words(line))
 
 
-def simhashes(lines: list[list[bytes]]) -> np.ndarray:
-    """The SimHash of each list of words: bit k is set if more than half of the words' hashes have it."""
-    out = np.zeros(len(lines), dtype=np.int64)
+def hashed(lines: list) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words of each line, the words' hashes as bytes one after another)."""
+    return np.array([len(w) for w in lines], dtype=np.int64), np.frombuffer(b"".join([h for w in lines for h in map(xxhash.xxh3_64_digest, w)]), np.uint8).reshape(-1, 8)
+
+
+def parts_of(size: np.ndarray, most: int = 20_000):
+    """Ranges of lines with some thousands of words in all; a long line stands alone."""
+    ends = np.cumsum(size)
     at = 0
-    while at < len(lines):  # some thousands of words at a time; a long line stands alone
-        end, words = at, 0
-        while end < len(lines) and (end == at or words + len(lines[end]) <= 20_000):
-            words += len(lines[end])
-            end += 1
-        part = lines[at:end]
-        if words:
-            hashes = np.frombuffer(b"".join([h for w in part for h in map(xxhash.xxh3_64_digest, w)]), np.uint8)
-            bits = np.unpackbits(hashes.reshape(-1, 8), axis=1).view(np.uint64)  # each bit as a byte
-            size = np.array([len(w) for w in part])
-            starts = np.cumsum(size) - size
-            cuts = np.concatenate([np.arange(s, s + n, 255) for s, n in zip(starts.tolist(), size.tolist(), strict=True) if n]) if size.max() > 255 else starts[size > 0]
-            sums = np.add.reduceat(bits, cuts, axis=0).view(np.uint8)  # bytes count to 255
-            total = np.zeros((len(part), 64), dtype=np.int64)
-            if size.max() > 255:
-                np.add.at(total, np.searchsorted(np.cumsum(size), cuts, side="right"), sums.astype(np.int64))
-            else:
-                total[size > 0] = sums
-            out[at:end] = np.packbits(2 * total > size[:, None], axis=1).view(">i8")[:, 0]
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, end
         at = end
+
+
+def simhashes(lines: list, hashes: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The SimHash of each list of words: bit k is set if more than half of the words' hashes have it."""
+    sizes, flat = hashes or hashed(lines)
+    out, first = np.zeros(len(lines), dtype=np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    for at, end in parts_of(sizes):
+        size, words = sizes[at:end], flat[first[at] : first[end]]
+        if not len(words):
+            continue
+        bits = np.unpackbits(words, axis=1).view(np.uint64)  # each bit as a byte
+        starts = np.cumsum(size) - size
+        cuts = np.concatenate([np.arange(s, s + n, 255) for s, n in zip(starts.tolist(), size.tolist(), strict=True) if n]) if size.max() > 255 else starts[size > 0]
+        sums = np.add.reduceat(bits, cuts, axis=0).view(np.uint8)  # bytes count to 255
+        total = np.zeros((len(size), 64), dtype=np.int64)
+        if size.max() > 255:
+            np.add.at(total, np.searchsorted(np.cumsum(size), cuts, side="right"), sums.astype(np.int64))
+        else:
+            total[size > 0] = sums
+        out[at:end] = np.packbits(2 * total > size[:, None], axis=1).view(">i8")[:, 0]
     return out
 
 
-def word_blocks(lines: list[list[bytes]]) -> pa.Array:
-    """Of each line of distinct words, a key of the words in each block that has any.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit words."""
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_blocks(lines: list, hashes: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Array:
+    """Of each line of distinct words, the keys of its blocks of words.
 
-    The number of blocks depends on the number of words; lines near such a bound
-    have the keys of both sides, so that those of 4 to 5 in words share one.
+    The class depends on the number of words; lines near such a bound have the
+    keys of both sides, so that those of 4 to 5 in words share one.
     """
-    tops, blocks = np.array([t for t, _ in WORD_BLOCKS]), np.array([n for _, n in WORD_BLOCKS])
+    sizes, flat = hashes or hashed(lines)
+    flat = mixed(flat.view(np.uint64).reshape(-1) * np.uint64(0xC2B2AE3D27D4EB4F))
+    tops, blocks, least = (np.array(x) for x in zip(*WORD_BLOCKS, strict=True))
     most = int(blocks.max())
-    out, ends, at = [np.empty(0, np.int64)], [np.zeros(1, np.int64)], 0
-    while at < len(lines):  # as simhashes
-        end, words = at, 0
-        while end < len(lines) and (end == at or words + len(lines[end]) <= 20_000):
-            words += len(lines[end])
-            end += 1
-        part = lines[at:end]
-        at = end
-        size = np.array([len(w) for w in part])
-        hashes = np.frombuffer(b"".join([h for w in part for h in map(xxhash.xxh3_64_digest, w)]), np.uint64)
-        high, low = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
-        owner = np.repeat(np.arange(len(part)), size)
-        keys, owners, before = [], [], np.zeros(len(part), dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    out, ends = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for at, end in parts_of(sizes, 200_000):
+        size, words = sizes[at:end], flat[first[at] : first[end]]
+        owner = np.repeat(np.arange(end - at), size)
+        keys, owners, before = [], [], np.full(end - at, -1)
+        # classes that the number of words lies in, and those beside it
         for factor in (0.89, 1.0, 1.125):
-            n = blocks[np.searchsorted(tops, size * factor, side="right")]
-            own = np.flatnonzero((n != before)[owner])  # a number of blocks that the line has had gives nothing new
-            before, of = n, owner[own]
-            place = of * most + ((high[own] * np.uint64(0x9E3779B1) >> np.uint64(16)) % n[of].astype(np.uint64)).astype(np.int64)
-            length = len(part) * most
-            filled = np.flatnonzero(np.bincount(place, minlength=length))
-            sums = [np.bincount(place, x[own], length)[filled].astype(np.uint64) for x in (high, low)]  # exact up to 2^21 words
-            salt = (n[filled // most] * most + filled % most).astype(np.uint64)
-            key = (sums[0] * np.uint64(0x9E3779B97F4A7C15) ^ sums[1]) * np.uint64(0xC2B2AE3D27D4EB4F) + salt * np.uint64(0x165667B19E3779F9)
-            key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            keys.append((key ^ key >> np.uint64(32)).view(np.int64))
-            owners.append(filled // most)
+            kind = np.searchsorted(tops, size * factor, side="right")
+            own = np.flatnonzero((kind != before)[owner])  # a class that the line has had gives nothing new
+            before, of = kind, owner[own]
+            place = of * most + ((words[own] >> np.uint64(40)) % blocks[kind[of]].astype(np.uint64)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            place, chosen = place[order], words[own][order]
+            cut = np.flatnonzero(np.diff(place, prepend=-1))
+            count, line = np.diff(np.append(cut, len(place))), place[cut] // most
+            fine = count >= least[kind[line]]
+            total = np.add.reduceat(chosen, cut) if len(cut) else chosen
+            salt = (kind[line] * most + place[cut] % most + 1).astype(np.uint64)
+            keys.append(mixed(mixed(total) + salt * np.uint64(0x9E3779B97F4A7C15))[fine])
+            owners.append(line[fine])
+        short = np.flatnonzero((size * 0.89 < SHORT) & (size > 0))
+        if len(short):
+            total = np.zeros(end - at, np.uint64)
+            cut = np.flatnonzero(size)
+            total[cut] = np.add.reduceat(words, (np.cumsum(size) - size)[cut])
+            some = np.flatnonzero((size * 0.89 < SHORT)[owner])
+            keys += [mixed(total[short]), mixed(total[owner[some]] - words[some])]
+            owners += [short, owner[some]]
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(owners, kind="stable")
         out.append(keys[order])
-        ends.append(ends[-1][-1] + np.cumsum(np.bincount(owners, minlength=len(part))))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(out)))
+        ends.append(ends[-1][-1] + np.cumsum(np.bincount(owners, minlength=end - at)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(out).view(np.int64)))
 
 
 def edit_similarity(a: bytes, b: bytes, least: float = 0.0) -> float:
@@ -183,9 +209,9 @@ def lines_of(docs: DataFrame, least_words: int, by_words: bool = False) -> DataF
             prints = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, map(b" ".join, words))), np.int64).reshape(-1, 2)
             short = np.array([len(w) < least_words for w in words], dtype=bool)
             compared = [() if len(w) < least_words else set(w) for w in words]
-            hashes = simhashes(compared)
-            blocks = pa.array([()] * len(words), pa.list_(pa.int64())) if not by_words else word_blocks(compared)
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(hashes, mask=short), blocks], ["doc_id", "line_no", "f1", "f2", "simhash", "blocks"])
+            hashes = hashed(compared)
+            blocks = word_blocks(compared, hashes) if by_words else pa.array([()] * len(words), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(simhashes(compared, hashes), mask=short), blocks], ["doc_id", "line_no", "f1", "f2", "simhash", "blocks"])
 
     return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line_no int, f1 long, f2 long, simhash long, blocks array<long>")
 
@@ -208,20 +234,43 @@ def block_keys(simhash, lines: int):
     return F.array(*keys)
 
 
-def line_buckets(nodes: DataFrame, reach: int) -> DataFrame:
-    """(key, id, centre, near) of buckets of lines (id, simhash, blocks) which blocks of bits or of words bring together.
+def gathered(batches, reach: int):
+    """Of rows (key, id, simhash) in order of (key, id), buckets (key, id, centre, near, simhash): members beside the least id.
 
-    Most keys have one line.  So keys are counted by 32 of their bits first, and
-    only lines whose bits repeat are dealt by key: a small part of the shuffle.
-    A bucket of two is known to be near or not before it makes any row.
+    Keys of one row give nothing, nor do keys of two that are not near.
     """
-    keys = F.concat(block_keys(F.col("simhash"), nodes.count()), F.col("blocks"))
-    members = nodes.select(F.explode(keys).alias("key"), "id", "simhash").withColumn("part", F.shiftright("key", 32).cast("int"))
-    often = stored(members.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part"), "repeated-parts")
-    met = stored(members.join(maybe_broadcast(often, 8), "part", "left_semi").select("key", "id", "simhash"), "met")
-    buckets = met.groupBy("key").agg(F.min(F.struct("id", "simhash")).alias("centre"), F.min("simhash").alias("low"), F.max("simhash").alias("high"), F.count("*").alias("n")).where(f"n > 2 or n = 2 and bit_count(low ^ high) <= {reach}")
-    near = (F.bit_count(F.col("simhash").bitwiseXOR(F.col("centre.simhash"))) <= reach).alias("near")
-    return met.join(buckets.select("key", "centre").hint("shuffle_hash"), "key").where("id <> centre.id").select("key", "id", F.col("centre.id").alias("centre"), near)
+    out = ["key", "id", "centre", "near", "simhash"]
+    none = np.zeros((3, 0), dtype=np.int64)
+    centre, held, begun = none, none, 0  # of the bucket that goes on: its first row, its second one if that waits for a third, its rows so far
+
+    def rows(now, head, size):
+        near = np.bitwise_count((now[2] ^ head[2]).view(np.uint64)) <= reach
+        keep = (now[1] != head[1]) & ((size > 2) | near)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (now[0], now[1], head[1], near, now[2])], out)
+
+    for batch in batches:
+        new = np.stack([batch.column(c).to_numpy() for c in ("key", "id", "simhash")])
+        if not new.shape[1]:
+            continue
+        now = np.concatenate([centre, held, new], axis=1)
+        first = np.flatnonzero(np.concatenate([[True], now[0, 1:] != now[0, :-1]]))
+        length = np.diff(np.append(first, now.shape[1]))
+        bucket = np.repeat(np.arange(len(first)), length)
+        if begun > 2:
+            length[0] = max(length[0], 3)
+        begun, last = int(length[-1]), first[-1]
+        upto = now.shape[1] if begun > 2 else last
+        yield rows(now[:, :upto], now[:, first[bucket[:upto]]], length[bucket[:upto]])
+        centre, held = now[:, last : last + 1], now[:, last + 1 : last + 2] if begun == 2 else none
+    if held.shape[1]:
+        yield rows(held, centre, np.array([2]))
+
+
+def line_buckets(nodes: DataFrame, reach: int) -> DataFrame:
+    """(key, id, centre, near, simhash) of buckets of lines (id, simhash, blocks) which blocks bring together, in one shuffle."""
+    keys = F.col("blocks") if reach > MOST_BITS else block_keys(F.col("simhash"), nodes.count())
+    members = nodes.select(F.explode(keys).alias("key"), "id", "simhash").repartition("key").sortWithinPartitions("key", "id")
+    return members.mapInArrow(lambda batches: gathered(batches, reach), "key long, id long, centre long, near boolean, simhash long")
 
 
 def similar(batches, least: float):
@@ -244,16 +293,26 @@ def with_partners(batches, reach: int):
             return
         else:
             now = held
-        n = now.shape[1]
-        keep, ahead = np.zeros(n, dtype=bool), np.arange(n)
+        keep = np.zeros(now.shape[1], dtype=bool)
         bits = now[4].view(np.uint64)
-        for step in range(1, n):
-            ahead = ahead[ahead < n - step]
+        first = np.flatnonzero((np.diff(now[:2], axis=1, prepend=now[:2, :1] - 1) != 0).any(axis=0))
+        size = np.diff(np.append(first, now.shape[1]))
+        ahead = np.flatnonzero(np.repeat(size <= 64, size))
+        for step in range(1, 64):  # all small groups at once
+            ahead = ahead[ahead < now.shape[1] - step]
             ahead = ahead[(now[:2, ahead] == now[:2, ahead + step]).all(axis=0)]
             if not len(ahead):
                 break
             near = ahead[(np.bitwise_count(bits[ahead] ^ bits[ahead + step]) <= reach) & (now[3, ahead] != now[3, ahead + step])]
             keep[near] = keep[near + step] = True
+        for a, n in zip(first[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+            some, kind = bits[a : a + n], now[3, a : a + n]
+            names, count = np.unique(kind, return_counts=True)
+            for i in np.flatnonzero(kind != names[count.argmax()]).tolist():  # of each pair of classes one is not the largest
+                near = (np.bitwise_count(some ^ some[i]) <= reach) & (kind != kind[i])
+                if near.any():
+                    keep[a : a + n][near] = True
+                    keep[a + i] = True
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in now[:, keep]], ["key", "part", "id", "class", "simhash"])
 
 
@@ -296,12 +355,12 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
                     found |= {x["id"]: normal_line(lines[x["line_no"]]) for x in some if x["line_no"] < len(lines)}
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["id", "line"])
 
-        lines = source.where("text is not null").join(maybe_broadcast(wanted, 96), "doc_id").select("text", "wanted")
+        lines = source.where("text is not null").join(maybe_broadcast(wanted, 64, F.size("wanted") * 24), "doc_id").select("text", "wanted")
         return stored(lines.mapInArrow(texts, "id long, line binary"), "wanted-lines")
 
     def within(rows: DataFrame) -> DataFrame:
-        marked = rows.join(fuzzy.select("id", "simhash"), "id").repartition("key", "part").sortWithinPartitions("key", "part")
-        rows = stored(marked.mapInArrow(lambda batches: with_partners(batches, reach), "key long, part long, id long, class long, simhash long"), "partners")
+        dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part")
+        rows = stored(dealt.mapInArrow(lambda batches: with_partners(batches, reach), "key long, part long, id long, class long, simhash long"), "partners")
         told = rows.join(texts_of(rows.select("id")), "id")
         return told.groupBy("key", "part").applyInArrow(lambda t: connecting(t, similarity, reach), "a long, b long").distinct()
 
@@ -311,7 +370,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
         side = pairs.join(told("a"), "a").join(told("b"), "b").select("a", "b", "a_line", "b_line")
         return side.mapInArrow(lambda batches: similar(batches, similarity), "a long, b long").distinct()
 
-    classes = near_classes(inside, verify, within, chunk=LINES)
+    classes = near_classes(inside, verify, within, chunk=LINES, carried=["simhash"])
     placed = labelled(nodes, classes, "id")
     linked = labelled(nodes.join(maybe_broadcast(classes.select("id").distinct(), 8), "id", "left_semi"), classes, "id")
     stays = stored(linked.groupBy("id_class").agg(F.min("first").alias("stays")), "stays")
@@ -321,20 +380,45 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
     return gone.select("doc_id", "line_no", "fuzzy").distinct()
 
 
+def without_repeats(docs: DataFrame, similarity: float, least_words: int, id_col: str, text_col: str, reach: int) -> DataFrame:
+    """docs with the repeated lines removed, and __n_lines, __n_exact and __n_fuzzy."""
+    gone = repeated_lines(docs, similarity, least_words, id_col, text_col, reach).groupBy("doc_id").agg(F.collect_list(F.when(F.col("fuzzy"), -1 - F.col("line_no")).otherwise(F.col("line_no"))).alias("__gone"))
+    gone = stored(gone, "removed-lines").withColumnRenamed("doc_id", "__id")
+    joined = docs.join(maybe_broadcast(gone, 64, F.size("__gone") * 4), F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for big in batches:
+            for batch in split_batches([big], text_col, 16 << 20):
+                texts, n_lines, n_exact, n_fuzzy = batch.column(place).to_pylist(), [], [], []
+                for k, (t, some) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                    fuzzy = sum(x < 0 for x in some) if some else 0
+                    n_lines.append(t.count("\n") + 1 if t else 0)
+                    n_fuzzy.append(fuzzy)
+                    n_exact.append(len(some) - fuzzy if some else 0)
+                    if some and t is not None:
+                        less = {-1 - x if x < 0 else x for x in some}
+                        texts[k] = "\n".join([line for n, line in enumerate(t.split("\n")) if n not in less])
+                columns = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (n_lines, n_exact, n_fuzzy))], [*batch.schema.names[:-1], "__n_lines", "__n_exact", "__n_fuzzy"])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__n_lines", "__n_exact", "__n_fuzzy"))])
+    return joined.mapInArrow(run, schema)
+
+
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text", reach: int = MOST_BITS) -> DataFrame:
     """docs with the texts' repeated lines removed, and n_lines, n_exact and n_fuzzy removed ones; rows stay even if no line does.
 
     reach: bits in which SimHashes of linked lines may differ; REACH for those of edit similarity 0.8.
     """
-    new = ["n_lines", "n_exact", "n_fuzzy"]
-    keep = docs.drop(*(c for c in new if c not in (id_col, text_col)))
-    gone = repeated_lines(docs, similarity, least_words, id_col, text_col, reach).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "fuzzy")).alias("__gone"))
-    gone = stored(gone, "removed-lines").withColumnRenamed("doc_id", "__id")
-    joined = keep.join(maybe_broadcast(gone, 96), F.col(id_col).cast("long") == F.col("__id"), "left")
-    text, some = F.col(text_col), F.col("__gone")
-    lines = F.split(text, "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(some["line_no"], k)), "\n")
-    count = lambda fuzzy: F.when(some.isNull(), 0).otherwise(F.size(F.filter(some, lambda x: x["fuzzy"] == fuzzy))).cast("long")
-    columns = {c: F.when(some.isNotNull(), left).otherwise(text) if c == text_col else F.col(f"`{c}`") for c in keep.columns}
-    total = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(lines)).cast("long")
-    return joined.select(*(v.alias(c) for c, v in columns.items()), total.alias("n_lines"), count(False).alias("n_exact"), count(True).alias("n_fuzzy"))
+    found = without_repeats(docs, similarity, least_words, id_col, text_col, reach)
+    new = {"n_lines": "__n_lines", "n_exact": "__n_exact", "n_fuzzy": "__n_fuzzy"}
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in new or c in (id_col, text_col)]
+    return found.select(*keep, *(F.col(v).alias(k) for k, v in new.items()))
+
+
+def drop_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text", reach: int = MOST_BITS) -> DataFrame:
+    """docs, with its columns, without the repeated lines; documents of which nothing with words is left go, unless nothing was removed."""
+    found = without_repeats(docs, similarity, least_words, id_col, text_col, reach)
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+    return found.where(worded | (F.col("__n_exact") + F.col("__n_fuzzy") == 0)).select(*(F.col(f"`{c}`") for c in docs.columns))

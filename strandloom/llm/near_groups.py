@@ -29,7 +29,7 @@ def with_centres(members: DataFrame) -> DataFrame:
     return members.join(buckets.hint("shuffle_hash"), "key").where("id <> centre").select("key", "id", "centre")
 
 
-def near_classes(inside: DataFrame, verify: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame], DataFrame], given: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+def near_classes(inside: DataFrame, verify: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame], DataFrame], given: DataFrame | None = None, chunk: int = CHUNK, carried: list[str] | None = None) -> DataFrame:
     """(id, class) of all ids that are linked to another, as a stored table.
 
     inside: a stored table (key, id, centre, near): each key a bucket, its
@@ -38,6 +38,7 @@ def near_classes(inside: DataFrame, verify: Callable[[DataFrame], DataFrame], wi
     within: of a stored table (key, part, id, class), links (a, b) that connect
     the classes of each (key, part) as all its links would.  given: links known
     already.  chunk: members on either side of such a group, on average.
+    carried: columns of inside that within gets too.
     """
     star = inside.where("near").groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
     star = stored(star, "star")
@@ -51,13 +52,14 @@ def near_classes(inside: DataFrame, verify: Callable[[DataFrame], DataFrame], wi
         edges = stored(edges.unionAll(verify(apart)), "links")
         classes = stored(components(edges), "classes")
     # then the members of a bucket beside its centre among themselves, where they are of several classes
-    placed = labelled(inside.select("key", "id"), classes, "id")
+    carried = carried or []
+    placed = labelled(inside.select("key", "id", *carried), classes, "id")
     mixed = placed.groupBy("key").agg(F.min("id_class").alias("low"), F.max("id_class").alias("high"), F.count("*").alias("n")).where("low <> high")
     chunks = F.ceil(F.col("n") / chunk)
     rows = placed.join(mixed.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     part = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
-    rest = stored(rows.select("key", part.alias("part"), "id", F.col("id_class").alias("class")), "mixed")
+    rest = stored(rows.select("key", part.alias("part"), "id", F.col("id_class").alias("class"), *carried), "mixed")
     if rest.take(1):
         edges = stored(edges.unionAll(within(rest)), "links")
         classes = stored(components(edges), "classes")
