@@ -57,6 +57,10 @@ LINES = 16_384
 LINE_NORMAL = bytes(48 if 48 <= b <= 57 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
+#: The same with lines left apart.
+TEXT_NORMAL = LINE_NORMAL[:10] + b"\n" + LINE_NORMAL[11:]
+
+
 def line_words(line: str) -> list[bytes]:
     return line.lower().encode().translate(LINE_NORMAL).split()
 
@@ -67,7 +71,7 @@ def normal_line(line: str) -> bytes:
 
 def hashed(lines: list) -> tuple[np.ndarray, np.ndarray]:
     """(number of words of each line, the words' hashes as bytes one after another)."""
-    return np.array([len(w) for w in lines], dtype=np.int64), np.frombuffer(b"".join([h for w in lines for h in map(xxhash.xxh3_64_digest, w)]), np.uint8).reshape(-1, 8)
+    return np.array([len(w) for w in lines], dtype=np.int64), np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, chain.from_iterable(lines))), np.uint8).reshape(-1, 8)
 
 
 def parts_of(size: np.ndarray, most: int = 20_000):
@@ -122,20 +126,24 @@ def word_blocks(lines: list, hashes: tuple[np.ndarray, np.ndarray] | None = None
     for at, end in parts_of(sizes, 200_000):
         size, words = sizes[at:end], flat[first[at] : first[end]]
         owner = np.repeat(np.arange(end - at), size)
+        halves = (words >> np.uint64(32)).astype(np.float64), (words & np.uint64(0xFFFFFFFF)).astype(np.float64)
+        chance = (words >> np.uint64(40)).astype(np.int64)
         keys, owners, before = [], [], np.full(end - at, -1)
         # classes that the number of words lies in, and those beside it
         for factor in (0.89, 1.0, 1.125):
             kind = np.searchsorted(tops, size * factor, side="right")
             own = np.flatnonzero((kind != before)[owner])  # a class that the line has had gives nothing new
             before, of = kind, owner[own]
-            place = of * most + ((words[own] >> np.uint64(40)) % blocks[kind[of]].astype(np.uint64)).astype(np.int64)
-            order = np.argsort(place, kind="stable")
-            place, chosen = place[order], words[own][order]
-            cut = np.flatnonzero(np.diff(place, prepend=-1))
-            count, line = np.diff(np.append(cut, len(place))), place[cut] // most
+            place = of * most + chance[own] % blocks[kind[of]]
+            length = (end - at) * most
+            count = np.bincount(place, minlength=length)
+            cut = np.flatnonzero(count)
+            line, count = cut // most, count[cut]
             fine = count >= least[kind[line]]
-            total = np.add.reduceat(chosen, cut) if len(cut) else chosen
-            salt = (kind[line] * most + place[cut] % most + 1).astype(np.uint64)
+            # sums of halves of the hashes, exact as floats up to 2^21 words
+            high, low = (np.bincount(place, x[own], length)[cut].astype(np.uint64) for x in halves)
+            total = high * np.uint64(0x9E3779B97F4A7C15) ^ low
+            salt = (kind[line] * most + cut % most + 1).astype(np.uint64)
             keys.append(mixed(mixed(total) + salt * np.uint64(0x9E3779B97F4A7C15))[fine])
             owners.append(line[fine])
         short = np.flatnonzero((size * 0.89 < SHORT) & (size > 0))
@@ -153,13 +161,20 @@ def word_blocks(lines: list, hashes: tuple[np.ndarray, np.ndarray] | None = None
     return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(out).view(np.int64)))
 
 
+def triples(x: str) -> np.ndarray:
+    """How many runs of three characters have each of 2,048 hashes."""
+    c = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    return np.bincount((c[:-2] * np.uint32(961) + c[1:-1] * np.uint32(31) + c[2:]) & np.uint32(2047), minlength=2048)
+
+
 def edit_similarity(a: bytes, b: bytes, least: float = 0.0) -> float:
-    """1 - Levenshtein distance / longer length, of characters; 0.0 if lengths alone put it below `least`."""
+    """1 - Levenshtein distance / longer length, of characters; 0.0 if it is found to be below `least` on the way."""
+    if a == b:
+        return 1.0
     x, y = a.decode(), b.decode()
     longer = max(len(x), len(y))
-    if longer == 0:
-        return 1.0
-    if 1 - abs(len(x) - len(y)) / longer < least:
+    allowed = int((1 - least) * longer + 1e-9)
+    if abs(len(x) - len(y)) > allowed:
         return 0.0
     n = min(len(x), len(y))
     k = 0
@@ -171,13 +186,17 @@ def edit_similarity(a: bytes, b: bytes, least: float = 0.0) -> float:
     x, y = x[k : len(x) - e], y[k : len(y) - e]
     if not x or not y:
         return 1 - max(len(x), len(y)) / longer
+    # an edit changes three runs of three characters at most; hashes that collide only make more of them seem shared
+    shared = max(len(x), len(y)) - 2 - 3 * allowed
+    if shared > 0 and np.minimum(triples(x), triples(y)).sum() < shared:
+        return 0.0
     # bit-parallel rows of the distance table (Myers): plus and minus hold where neighbours differ by +1 and -1
     where: dict[str, int] = {}
     for i, c in enumerate(x):
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
     plus, minus, distance = full, 0, len(x)
-    for c in y:
+    for left, c in zip(range(len(y) - 1, -1, -1), y, strict=True):
         eq = where.get(c, 0)
         vertical = eq | minus
         diagonal = (((eq & plus) + plus) ^ plus) | eq
@@ -187,6 +206,8 @@ def edit_similarity(a: bytes, b: bytes, least: float = 0.0) -> float:
             distance += 1
         elif down & top:
             distance -= 1
+        if distance - left > allowed:  # each character that is left takes one off at most
+            return 0.0
         up = (up << 1 | 1) & full
         down = down << 1 & full
         plus = down | ~(vertical | up) & full
@@ -194,6 +215,14 @@ def edit_similarity(a: bytes, b: bytes, least: float = 0.0) -> float:
     return 1 - distance / longer
 
 
+def alike(a: bytes, b: bytes, least: float) -> bool:
+    """Whether the edit similarity is at least `least`; known at once where as many words stand and the differing ones are short."""
+    x, y = a.split(), b.split()
+    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y, strict=True) if u != v) <= int((1 - least) * max(len(a.decode()), len(b.decode())) + 1e-9):
+        return True
+    return edit_similarity(a, b, least) >= least
+
+
 def lines_of(docs: DataFrame, least_words: int, by_words: bool = False) -> DataFrame:
     """(doc_id, line_no, f1, f2, simhash, blocks) of each line with words; simhash is null for short ones, blocks are the keys by words, if asked for."""
 
@@ -201,8 +230,8 @@ def lines_of(docs: DataFrame, least_words: int, by_words: bool = False) -> DataF
         for batch in split_batches(batches, "text", 2 << 20):
             ids, numbers, owners, words = batch.column(0).to_pylist(), [], [], []
             for doc_id, text in zip(ids, batch.column(1).to_pylist(), strict=True):
-                for k, line in enumerate(text.split("\n")) if text else ():
-                    if w := line_words(line):
+                for k, line in enumerate(text.lower().encode().translate(TEXT_NORMAL).split(b"\n")) if text else ():
+                    if w := line.split():  # as line_words
                         numbers.append(k)
                         owners.append(doc_id)
                         words.append(w)
@@ -275,7 +304,7 @@ def line_buckets(nodes: DataFrame, reach: int) -> DataFrame:
 
 def similar(batches, least: float):
     for batch in split_batches(batches, "a_line"):
-        keep = [edit_similarity(x, y, least) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        keep = [alike(x, y, least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -324,7 +353,7 @@ def connecting(table: pa.Table, least: float, reach: int) -> pa.Table:
     for i in range(len(ids) - 1):
         close = (np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= reach) & (group[i + 1 :] != group[i])
         for j in (np.flatnonzero(close) + i + 1).tolist():
-            if joined.root(i) != joined.root(j) and edit_similarity(lines[i], lines[j], least) >= least:
+            if joined.root(i) != joined.root(j) and alike(lines[i], lines[j], least):
                 joined.join(i, j)
                 a.append(min(ids[i], ids[j]))
                 b.append(max(ids[i], ids[j]))

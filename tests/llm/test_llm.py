@@ -544,3 +544,48 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert {r.doc_id for r in last.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_alike():
+    rng = random.Random(41)
+    for _ in range(400):
+        a = [rng.choice(["alpha", "be", "cé", "delta漢", "x"]) for _ in range(rng.randrange(1, 14))]
+        b = [rng.choice(["alphi", "q"]) if rng.random() < 0.2 else w for w in a][: rng.choice([99, 99, 8])]
+        x, y = " ".join(a).encode(), " ".join(b).encode()
+        for least in (0.6, 0.8, 0.95):
+            assert line_dedup.alike(x, y, least) == (line_dedup.edit_similarity(x, y) >= least - 1e-9)
+
+
+def test_buckets_in_any_batches():
+    import pyarrow as pa
+
+    rng = random.Random(42)
+    rows = sorted((rng.randrange(25), k, rng.getrandbits(4)) for k in range(160))
+    want = []
+    for key in range(25):
+        own = [r for r in rows if r[0] == key]
+        want += [(key, i, own[0][1], (s ^ own[0][2]).bit_count() <= 1) for _, i, s in own[1:] if len(own) > 2 or (s ^ own[0][2]).bit_count() <= 1]
+    for size in (1, 2, 3, 7, 160):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + size], strict=True)], ["key", "id", "simhash"]) for k in range(0, len(rows), size)]
+        got = [tuple(r.values())[:4] for b in line_dedup.gathered(iter(batches), 1) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
+def test_partners_of_large_groups():
+    import pyarrow as pa
+
+    rng = random.Random(43)
+    for n in (5, 60, 300):
+        rows = [(7, 0, k, rng.choice([1, 1, 1, 2, 3]), rng.getrandbits(9)) for k in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["key", "part", "id", "class", "simhash"])
+        want = {a[2] for a in rows for b in rows if a[3] != b[3] and (a[4] ^ b[4]).bit_count() <= 1}
+        assert {i for b in line_dedup.with_partners(iter([batch]), 1) for i in b.column(2).to_pylist()} == want
+
+
+def test_lines_keep_the_columns_of_documents(spark):
+    rows = [(1, "one line of five words\nanother line with some words", 7, "x"), (2, "one line of five words", 8, "y"), (3, None, 9, None), (4, "", 1, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_exact string")
+    kept = line_dedup.drop_lines(df, reach=line_dedup.REACH)
+    assert kept.schema == df.schema and sorted(tuple(r) for r in kept.collect()) == sorted(r for r in rows if r[0] != 2)
+    found = line_dedup.dedup_lines(df)
+    assert {r.doc_id: (r.n_lines, r.n_exact) for r in found.collect()} == {1: (2, 0), 2: (1, 1), 3: (0, 0), 4: (0, 0)}
