@@ -589,3 +589,27 @@ def test_lines_keep_the_columns_of_documents(spark):
     assert kept.schema == df.schema and sorted(tuple(r) for r in kept.collect()) == sorted(r for r in rows if r[0] != 2)
     found = line_dedup.dedup_lines(df)
     assert {r.doc_id: (r.n_lines, r.n_exact) for r in found.collect()} == {1: (2, 0), 2: (1, 1), 3: (0, 0), 4: (0, 0)}
+
+
+def test_neighbours_read_a_minority_of_lists(spark):
+    """Recall of 0.9 where each query reads less than a third of the lists, and fewer rows than there are."""
+    rng = np.random.default_rng(19)
+    x = (rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] + 0.45 * rng.normal(size=(6000, 24))).astype(np.float32)
+    lifted = ann.lifted(x.astype(np.float64), float((x.astype(np.float64) ** 2).sum(1).max())).astype(np.float32)
+    c = ann.centroids(lifted, 375)
+    graph, q = ann.Graph(c), x[::20]
+    size = np.bincount(ann.lists_of(lifted, c, 8, 1.15)[1], minlength=len(c))
+    assert size.max() < 40 * size.mean() and (size > 0).mean() > 0.95
+    read = [ann.probes(graph, np.append(v, 0).astype(np.float32), size, 192, 1.07, 8, 168) for v in q]
+    assert np.mean([len(r) for r in read]) < len(c) / 3 and np.mean([size[r].sum() for r in read]) < len(x)
+    found = [set(graph.search(np.append(v, 0).astype(np.float32), 32)[0].tolist()) for v in q]
+    exact = [set(np.argsort(((c - np.append(v, 0)) ** 2).sum(1))[:32].tolist()) for v in q]
+    assert np.mean([len(a & b) / 32 for a, b in zip(found, exact, strict=True)]) > 0.95
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = q.astype(np.float64) @ x.astype(np.float64).T
+    s[np.arange(len(q)), 20 * np.arange(len(q))] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(got[20 * k] & set(best[k].tolist())) / 20 for k in range(len(q))]) >= 0.9
