@@ -13,9 +13,10 @@ registers are buckets of candidates (see near_groups); candidates are verified
 over whole texts: they are linked if the probability Jaccard similarity of
 their weighted shingles, or the Jaccard similarity of the plain ones, is at
 least `similarity`.  A class is a connected component.
-Candidates come from the probability Jaccard similarity alone: pairs whose plain
-Jaccard similarity reaches `similarity` by far less of the other (a passage that
-one of them repeats many times) are linked only where bands propose them.
+Both criteria have candidates: a text that repeats shingles has a second
+signature with all weights 1, whose bands are buckets beside those of the first
+(for other texts the two are the same), and a pair is gated by the nearer of its
+two sketches.
 
 Words: lower-cased runs of digits, letters a-z and characters beyond ASCII.
 Documents without words (null, empty, or marks only) are classes of their own.
@@ -106,22 +107,40 @@ def signatures(count: int, doc: np.ndarray, shingle: np.ndarray, weight: np.ndar
     return kept.reshape(count, registers)
 
 
-def signed(doc_ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
-    words = [words_of(t) for t in texts]
-    sig = signatures(len(words), *weighted_shingles(words))
-    bands = np.zeros((len(words), BANDS), dtype=np.uint64)
+def banded(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the bands, sketch of two words) of each signature."""
+    bands = np.zeros((len(sig), BANDS), dtype=np.uint64)
     for k in range(ROWS):
         bands = mixed(bands + sig[:, k::ROWS][:, :BANDS] + np.uint64(0x9E3779B97F4A7C15))
     bands = mixed(bands + np.arange(1, BANDS + 1, dtype=np.uint64))
-    bits = np.zeros((len(words), 128), dtype=np.uint8)
+    bits = np.zeros((len(sig), 128), dtype=np.uint8)
     bits[:, :REGISTERS] = (mixed(sig) >> np.uint64(63)).astype(np.uint8)
-    sketch = np.packbits(bits, axis=1).view(np.int64)
+    return bands.view(np.int64), np.packbits(bits, axis=1).view(np.int64)
+
+
+def signed(doc_ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    words = [words_of(t) for t in texts]
+    n = len(words)
+    doc, shingle, weight = weighted_shingles(words)
+    bands, sketch = banded(signatures(n, doc, shingle, weight))
+    # texts that repeat shingles have a signature without weights, too
+    repeats = np.unique(doc[weight > 1])
+    own = np.isin(doc, repeats)
+    plain, plain_sketch = banded(signatures(len(repeats), np.searchsorted(repeats, doc[own]), shingle[own], np.ones(int(own.sum()), np.int64)))
+    sketches = np.concatenate([sketch, sketch], axis=1)
+    sketches[repeats, 2:] = plain_sketch
+    ends = np.full(n, BANDS)
+    ends[repeats] = 2 * BANDS
+    ends = np.concatenate([[0], np.cumsum(ends)])
+    keys = np.empty(ends[-1], dtype=np.int64)
+    at = ends[:-1, None] + np.arange(BANDS)
+    keys[at] = bands
+    keys[at[repeats] + BANDS] = plain
     prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), dtype=np.int64).reshape(-1, 2)
     empty = np.array([not w for w in words], dtype=bool)
-    arrays = [doc_ids, pa.array(prints[:, 0], mask=empty), pa.array(prints[:, 1], mask=empty), pa.array([row.tobytes() for row in bands]), pa.array([row.tobytes() for row in sketch])]
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).reshape(-1)))
-    twos = pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, 2), pa.int32()), pa.array(sketch.reshape(-1)))
-    return pa.RecordBatch.from_arrays([*arrays[:3], lists, twos], ["doc_id", "f1", "f2", "bands", "sketch"])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))
+    fours = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * n + 1, 4), pa.int32()), pa.array(sketches.reshape(-1)))
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(prints[:, 0], mask=empty), pa.array(prints[:, 1], mask=empty), lists, fours], ["doc_id", "f1", "f2", "bands", "sketch"])
 
 
 def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -225,13 +244,14 @@ def document_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "do
         return side.mapInArrow(lambda batches: linked(batches, similarity), "a long, b long").distinct()
 
     def near(x: str, y: str):
-        return F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])) + F.bit_count(F.col(x)[1].bitwiseXOR(F.col(y)[1])) <= MOST_BITS
+        apart = lambda k: F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) + F.bit_count(F.col(x)[k + 1].bitwiseXOR(F.col(y)[k + 1]))
+        return F.least(apart(0), apart(2)) <= MOST_BITS
 
     given = None
     if repeated:  # texts of one doc_id are one document
         placed = known.join(nodes, ["f1", "f2"]).select("doc_id", F.col("id").alias("b")).distinct()
         given = placed.join(placed.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a <> b").select("a", "b")
-    inside = with_centres(own.select(F.explode("bands").alias("key"), "id"))
+    inside = with_centres(own.select(F.explode(F.array_distinct("bands")).alias("key"), "id"))
     sketch = lambda name: own.select(F.col("id").alias(name), F.col("sketch").alias(f"{name}_sketch"))
     inside = inside.join(sketch("id"), "id").join(sketch("centre"), "centre").select("key", "id", "centre", near("id_sketch", "centre_sketch").alias("near"))
     classes = near_classes(stored(inside, "buckets"), verify, within, given)
