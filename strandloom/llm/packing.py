@@ -96,14 +96,15 @@ class Packer:
         self.sequences += 1
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256, max_loss: int | None = None, prompt_col: str | None = None, window: int = 1024, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, max_tokens: int = 2048, max_segments: int | None = None, max_loss: int | None = None, prompt_col: str | None = None, window: int = 1024, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: the id, start (ids of its document before it), length, ids_crc32, doc_tokens (with the end id), sequence_id, offset in the sequence, loss_tokens; with_ids adds the ids.
 
     prompt_col: number of leading ids of a document that bear no loss (null: 0);
-    without it all ids do.  Each id lies in exactly one piece.  The same
+    without it all ids do.  max_segments: None sets no limit of its own, since a
+    sequence of short documents would be padded for it.  Each id lies in exactly one piece.  The same
     partitions in the same order give the same sequences.
     """
-    if max_tokens < 1 or max_segments < 1 or (max_loss is not None and max_loss < 1):
+    if max_tokens < 1 or any(x is not None and x < 1 for x in (max_segments, max_loss)):
         raise ValueError("limits must be positive")
     end = end_id.to_bytes(4, "little")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -111,7 +112,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
 
     def run(batches):
         words = WordCache.of(tokenizer)
-        packer = Packer(max_tokens, max_segments, max_loss or max_tokens, window)
+        packer = Packer(max_tokens, max_segments or max_tokens, max_loss or max_tokens, window)
         base = TaskContext.get().partitionId() * SEQUENCES
         id_type = None
 
