@@ -3,12 +3,14 @@
 A text of at most `chunk_chars` characters is encoded whole.  A longer one is
 cut into chunks that overlap; each is encoded with offsets.  Two neighbours are
 spliced at a common boundary inside the overlap that is stable: both encodings
-end a token at or before it and start the next at or after it, the text turns
-from a visible character to white space there (the pre-tokenizers end a
-pre-token at each such turn whatever surrounds it, and no added token contains
-white space), and a run of tokens on either side is the same in both.  Without
-such a boundary the overlap is doubled, until at last the two chunks are
-encoded as one.
+end a token at or before it and start the next at or after it, the text has a
+turn there (from a visible character to white space, or between a letter and a
+digit of ASCII: the pre-tokenizers end a pre-token at each such turn whatever
+surrounds it, and no added token contains one), and a run of tokens on either
+side is the same in both.  Without such a boundary the overlap is widened, at
+once to the last turn if there is none within it.  A chunk in which no boundary
+serves goes on to the next turn and is encoded once more as a whole, so a run
+without turns of any length is encoded twice at most.
 
 Null and empty texts have 0 bytes and 0 tokens.  Repeated rows and null ids
 each give a row; an empty table gives no rows; other columns of the input are
@@ -17,6 +19,8 @@ not read, so their names don't matter.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,13 +32,15 @@ from strandloom.llm.wordcache import WordCache, resolve
 AGREE = 4
 
 
+#: The character before a turn.
+TURN = re.compile(r"\S(?=\s)|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
+
+
 def stable_cut(text: str, left: tuple[np.ndarray, np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray, np.ndarray], low: int, high: int) -> int | None:
     """The middle one of the stable boundaries in text[low:high], from (ids, starts, ends) of both encodings, or None."""
     (li, ls, le), (ri, rs, re_) = left, right
     found = []
-    for p in range(low + 1, high):
-        if not text[p].isspace() or text[p - 1].isspace():
-            continue
+    for p in (m.end() for m in TURN.finditer(text, low, high)):
         a, b = int(np.searchsorted(ls, p)), int(np.searchsorted(rs, p))  # the first tokens that start at p or later
         if a < AGREE or b < AGREE or a + AGREE > len(li) or b + AGREE > len(ri) or le[a - 1] > p or re_[b - 1] > p:
             continue
@@ -44,6 +50,17 @@ def stable_cut(text: str, left: tuple[np.ndarray, np.ndarray, np.ndarray], right
     return found[len(found) // 2] if found else None
 
 
+def last_turn(text: str, low: int, high: int) -> int | None:
+    """The last turn in text[low:high], searched backwards in pieces."""
+    while high > low:
+        at = max(low, high - 4096)
+        found = [m.end() for m in TURN.finditer(text, at, high)]
+        if found:
+            return found[-1]
+        high = at + 1 if at > low else low
+    return None
+
+
 def spliced_ids(text: str, encode, chunk: int, overlap: int) -> np.ndarray:
     """Ids of text from chunks of about `chunk` characters; encode gives (ids, starts, ends) of a string."""
 
@@ -57,10 +74,16 @@ def spliced_ids(text: str, encode, chunk: int, overlap: int) -> np.ndarray:
         width, to = overlap, min(len(text), end + chunk)
         while True:
             begin = max(start, end - width)
-            following = at(begin, to)
-            if begin == start:  # the overlap is all of the chunk: both are encoded as one
-                held, end = following, to
+            if begin > start and not TURN.search(text, begin, end):
+                turn = last_turn(text, start, begin)
+                begin = start if turn is None else max(start, turn - overlap)
+                width = end - begin
+            if begin == start:  # no boundary in this chunk: on to the next turn, with what follows it as an overlap
+                turn = TURN.search(text, to - 1)
+                to = min(len(text), turn.end() + overlap) if turn else len(text)
+                held, end = at(start, to), to
                 break
+            following = at(begin, to)
             cut = stable_cut(text, held, following, begin, end)
             if cut is not None:
                 out.append(held[0][: np.searchsorted(held[1], cut)])
