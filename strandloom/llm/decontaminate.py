@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import process_cache, split_batches, stored
+from strandloom.llm.common import discard, process_cache, split_batches, stored
 
 #: Each byte as it stands among words: A-Z lower-cased, other ASCII beside digits and a-z a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -144,7 +144,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_
     keep = docs.drop(*new)
     found = keep.withColumns({"__ranges": F.expr("cast(array() as array<int>)"), "__items": F.expr("cast(array() as array<string>)")})
     for k, items in enumerate(shards(benchmark, item_id, item_text, shard_bytes)):
-        found = _scan(stored(found, "decontaminate") if k else found, items, window, text_col)
+        if k:
+            before, found = found, stored(found, "decontaminate")
+            if k > 1:
+                discard(before.scanned)
+        source, found = found, _scan(found, items, window, text_col)
+        found.scanned = source
     place = keep.columns.index(text_col)
 
     def run(batches):
@@ -166,6 +171,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_
     return found.mapInArrow(run, f"{schema}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start:int,end:int>>")
 
 
-def clean_of_benchmark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not contaminated, with their columns."""
-    return find_benchmark(docs, benchmark, **options).where("not contaminated").select(*(F.col(f"`{c}`") for c in docs.columns))
+def clean_of_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that are not contaminated, with their columns, whatever their names."""
+    apart = {c: f"__docs_{k}" for k, c in enumerate(docs.columns)}
+    found = find_benchmark(docs.withColumnsRenamed(apart), benchmark, text_col=apart[text_col], **options)
+    return found.where("not contaminated").select(*(F.col(n).alias(c) for c, n in apart.items()))
