@@ -613,3 +613,48 @@ def test_neighbours_read_a_minority_of_lists(spark):
     s[np.arange(len(q)), 20 * np.arange(len(q))] = -np.inf
     best = np.argsort(-s, axis=1)[:, :20]
     assert np.mean([len(got[20 * k] & set(best[k].tolist())) / 20 for k in range(len(q))]) >= 0.9
+
+
+def test_repeated_passages_are_candidates(spark):
+    """Pairs that are alike by plain Jaccard alone: a page, and the page with a phrase repeated."""
+    rng = random.Random(51)
+    texts = []
+    for _ in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts += [" ".join(w), " ".join([*w, *(w[:15] * 30)])]
+    words = [minhash.words_of(t) for t in texts]
+    doc, shingle, weight = minhash.weighted_shingles(words)
+    cut = np.searchsorted(doc, np.arange(len(words) + 1))
+    one = lambda k: (shingle[cut[k] : cut[k + 1]], weight[cut[k] : cut[k + 1]])
+    both = [minhash.similarities(one(k), one(k + 1)) for k in range(0, len(texts), 2)]
+    assert all(p < 0.5 and j > 0.8 for p, j in both)
+    got = minhash.document_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {k: k - k % 2 for k in range(len(texts))}
+
+
+def test_text_without_turns_is_encoded_once_more_at_most():
+    counter = token_counts.Counter("word_bpe_49k.json", 2000, 64)
+    rng = random.Random(52)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(12_000))
+    code = "".join(rng.choices("abcdefXYZ0123456789+/", k=30_000))
+    for text in (han, f"some words {han[:7000]} and more words " * 2, code, "word " * 900 + han[:3000] + " word" * 2000):
+        encoded = []
+        ids = token_counts.spliced_ids(text, lambda t: encoded.append(len(t)) or counter.encoded(t), 2000, 64)
+        assert ids.tolist() == library("word_bpe_49k.json")(text)
+        assert sum(encoded) < 3 * len(text) + 2000
+
+
+def test_short_documents_are_packed_without_padding(spark):
+    df = spark.createDataFrame([(k, "one two") for k in range(3000)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(df).collect()
+    size = Counter()
+    for r in rows:
+        size[r.sequence_id] += r.length
+    assert sum(2048 - n for n in size.values() if n & (n - 1)) == 0
+
+
+def test_clean_of_benchmark_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two three", 77, "x"), (2, "four five", 8, None), (3, None, 9, "z")], "doc_id long, text string, n_words int, spans string")
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    kept = decontaminate.clean_of_benchmark(df, bench)
+    assert kept.schema == df.schema and sorted(tuple(r) for r in kept.collect()) == [(2, "four five", 8, None), (3, None, 9, "z")]
