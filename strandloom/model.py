@@ -121,6 +121,17 @@ def truth(reads: Reads, label: str) -> Column:
     return F.coalesce(tag(label), F.lit(False)) if kind is TagType.BOOL else tag(label).isNotNull()
 
 
+def insisting(reads: Reads, fine: Column, message: Column) -> Reads:
+    """The frame, where a row that isn't fine (null: not fine) raises the message.
+
+    The condition counts as not deterministic, so that it stays where it stands:
+    it is neither dropped with columns that nobody reads nor moved before the
+    steps that remove rows.
+    """
+    passed = F.when(fine, F.spark_partition_id() >= 0).otherwise(F.raise_error(message).cast("boolean"))
+    return reads.with_df(reads.df.where(passed))
+
+
 def ordered_rank(df: DataFrame, by: list[str], name_: str) -> DataFrame:
     """df with the rank from 1, by read_no, within the columns `by` (null is a value).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions.dna import iupac_overlap, iupac_regex
-from strandloom.model import ConfigError, Reads, TagType, joined_sequence, tag
+from strandloom.model import ConfigError, Reads, SideOutput, TagType, joined_sequence, tag
 
 NO_BARCODE = "no-barcode"
 
@@ -27,7 +27,8 @@ def demultiplex(reads: Reads, label: str, barcodes: dict[str, str] | None = None
     """Names of groups from a tag: by barcode (equal, or else fitting as IUPAC, in the barcodes' order), or by a Bool tag's value.
 
     Several steps combine their names.  A molecule without a name in one of
-    them has none, and is dropped by the sinks.
+    them has none, and is dropped by the sinks.  That no molecule at all has a
+    barcode is an error, which the run finds at its end.
     """
     kind = reads.tags.get(label)
     if kind is None or kind is TagType.NUMERIC:
@@ -48,5 +49,8 @@ def demultiplex(reads: Reads, label: str, barcodes: dict[str, str] | None = None
             if set(b.upper()) - set("ACGT_"):
                 found = found.when((F.length(text) == len(b)) & F.regexp_like(text, F.lit(iupac_regex(b.replace("_", "N")) + "$")), F.lit(n))
         found = found.otherwise(F.lit(NO_BARCODE) if output_unmatched else F.lit(None))
+    if barcodes is not None:
+        matched = F.max(F.coalesce(found != NO_BARCODE, F.lit(False))).alias("matched")
+        reads = reads.with_output(SideOutput("matched", label, reads.df.agg(F.coalesce(matched, F.lit(False)).alias("matched"))))
     new = F.when(F.col("_demux").isNotNull() & found.isNotNull(), F.concat("_demux", F.lit(separator), found)) if reads.demux else found
     return reads.with_df(reads.df.withColumn("_demux", new), demux=(*reads.demux, label))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.dna import moved, placeless, reverse_complement
 from strandloom.functions.vectorised import merge_reads as merged
-from strandloom.model import ConfigError, Reads, TagType, joined_sequence, name, qual, read, seq, tag, truth
+from strandloom.model import ConfigError, Reads, TagType, insisting, joined_sequence, name, qual, read, seq, tag, truth
 
 #: Offset, lowest and highest byte of each encoding of qualities.
 ENCODINGS = {"sanger": (33, 33, 126), "solexa": (64, 59, 126), "illumina13": (64, 64, 126)}
@@ -119,8 +119,8 @@ def convert_quality(reads: Reads, from_: str, to: str) -> Reads:
     columns = {}
     for s in reads.segments:
         fine = F.regexp_like(qual(s), F.lit(f"^[\\x{low:02x}-\\x{high:02x}]*$"))
-        checked = F.when(fine, F.translate(qual(s), old, new)).otherwise(F.raise_error(F.concat(F.lit(f"quality outside {from_}: "), qual(s))))
-        columns[s] = read(name(s), seq(s), checked)
+        reads = insisting(reads, fine, F.concat(F.lit(f"quality outside {from_}: "), qual(s)))
+        columns[s] = read(name(s), seq(s), F.translate(qual(s), old, new))
     return reads.with_df(reads.df.withColumns(columns))
 
 

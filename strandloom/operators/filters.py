@@ -40,8 +40,8 @@ def empty(reads: Reads, segment: str) -> Reads:
 
 def head(reads: Reads, n: int) -> Reads:
     """The first n molecules, of each group after Demultiplex."""
-    if not reads.demux:
-        return reads.with_df(reads.df.orderBy("read_no").limit(n))
+    if not reads.demux and reads.dense:
+        return reads.with_df(reads.df.where(F.col("read_no") < n))
     ranked = ordered_rank(reads.df, reads.groups(), "_rank")
     return reads.with_df(ranked.where(F.col("_rank") <= n).drop("_rank"), dense=False)
 

@@ -105,7 +105,8 @@ def report(reads: Reads, name: str, parts: set[str], oligos: list[str] = (), oli
 
 def inspect(reads: Reads, n: int, infix: str, segment: str = "all") -> Reads:
     """The first n molecules, as they are here."""
-    return reads.with_output(SideOutput("inspect", infix, reads.df.orderBy("read_no").limit(n), {"segments": reads.segments if segment == "all" else (segment,), "demux": bool(reads.demux), "interleaved": segment == "all"}))
+    first = reads.df.where(F.col("read_no") < n) if reads.dense else reads.df.orderBy("read_no").limit(n)
+    return reads.with_output(SideOutput("inspect", infix, first, {"segments": reads.segments if segment == "all" else (segment,), "demux": bool(reads.demux), "interleaved": segment == "all"}))
 
 
 def progress(reads: Reads, n: int = 1_000_000, infix: str | None = None) -> Reads:

@@ -1,26 +1,18 @@
-"""Checks that stop a run.  Each is tied to the columns that the sinks use, so that the optimiser can't drop it."""
+"""Checks that stop a run, whatever the sinks read: each is a filter that keeps all rows or raises."""
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandloom.model import ConfigError, Reads, TagType, joined_sequence, name, qual, read, seq, tag
+from strandloom.model import ConfigError, Reads, TagType, insisting, joined_sequence, name, qual, seq, tag
 from strandloom.operators.edits import ENCODINGS, encoding
 
 
-def insisting(reads: Reads, segment: str, fine: Column, message: Column) -> Reads:
-    """The frame, where reading the segment's sequence fails with the message if the check does."""
-    checked = F.when(fine, seq(segment)).otherwise(F.raise_error(message))
-    return reads.with_df(reads.df.withColumn(segment, read(name(segment), checked, qual(segment))))
-
-
 def sequences(reads: Reads, segment: str, allowed: str) -> Reads:
     for s in reads.segments if segment == "all" else (segment,):
         fine = F.translate(seq(s), allowed, "") == ""
-        reads = insisting(reads, s, fine, F.concat(F.lit("ValidateSeq: letters that aren't allowed in "), name(s)))
+        reads = insisting(reads, fine, F.concat(F.lit("ValidateSeq: letters that aren't allowed in "), name(s)))
     return reads
 
 
@@ -28,7 +20,7 @@ def qualities(reads: Reads, segment: str, encoding_: str) -> Reads:
     _, low, high = ENCODINGS[encoding(encoding_)]
     for s in reads.segments if segment == "all" else (segment,):
         fine = F.regexp_like(qual(s), F.lit(f"^[\\x{low:02x}-\\x{high:02x}]*$"))
-        reads = insisting(reads, s, fine, F.concat(F.lit("ValidateQuality: bytes outside the encoding in "), name(s)))
+        reads = insisting(reads, fine, F.concat(F.lit("ValidateQuality: bytes outside the encoding in "), name(s)))
     return reads
 
 
@@ -38,7 +30,7 @@ def _sampled(reads: Reads, stride: int, fine: Column, message: str) -> Reads:
         raise ConfigError("at least two segments are needed")
     counted = reads.running_index()
     first = reads.segments[0]
-    out = insisting(counted, first, (F.col("_index") % stride != 0) | fine, F.concat(F.lit(message), name(first)))
+    out = insisting(counted, (F.col("_index") % stride != 0) | fine, F.concat(F.lit(message), name(first)))
     return out.with_df(out.df.drop("_index"))
 
 
@@ -76,7 +68,5 @@ def same_length(reads: Reads, source: str) -> Reads:
     seen = reads.df.agg(F.min(size).alias("_low"), F.max(size).alias("_high"))
     joined = reads.with_df(reads.df.join(F.broadcast(seen)))
     fine = F.col("_low").isNull() | (F.col("_low") == F.col("_high"))
-    out = insisting(joined, reads.segments[0], fine, F.concat(F.lit("ValidateAllReadsSameLength: lengths from "), F.col("_low").cast("string"), F.lit(" to "), F.col("_high").cast("string")))
+    out = insisting(joined, fine, F.concat(F.lit("ValidateAllReadsSameLength: lengths from "), F.col("_low").cast("string"), F.lit(" to "), F.col("_high").cast("string")))
     return out.with_df(out.df.drop("_low", "_high"))
-
-

@@ -108,9 +108,9 @@ def run(spark: SparkSession, toml: str, base: str = ".", allow_overwrite: bool =
     else:
         wanted = {} if kind == "none" else sequence_files(o, reads, prefix, kind, compression, groups, separator)
     os.makedirs(os.path.dirname(prefix) or ".", exist_ok=True)
-    reports = [f"{prefix}.json"] if o.get("report_json") else []
     if not allow_overwrite:
-        writers.claim([*wanted, *reports], marker)
+        chunks = [chunk_name(p, "[0-9]*") for p in wanted] if o.get("chunksize") else []
+        writers.claim([*(() if chunks else wanted), *side_files(reads, prefix, groups, separator, kind, o)], marker, chunks)
     # a frame that several sinks read is computed once
     shared = reads.df.persist() if len(wanted) > 1 else reads.df
     for path, (group, segments) in wanted.items():
@@ -164,10 +164,44 @@ def write_sequences(df: DataFrame, path: str, segments: list[str], kind: str, co
     count = ranked.agg(F.max("_chunk")).first()[0]
     digits = len(str(count or 0))
     dealt = rows.join(ranked, "read_no")
+    for k in range((count if count is not None else 0) + 1):
+        writers.write_reads(dealt.where(F.col("_chunk") == k), chunk_name(path, f"{k:0{digits}d}"), kind, compression, level, segments=len(segments), order="read_no,place", **hashes)
+
+
+def chunk_name(path: str, number: str) -> str:
     stem, _, rest = path.rpartition("/")
     base, dot, suffix = rest.partition(".")
-    for k in range((count if count is not None else 0) + 1):
-        writers.write_reads(dealt.where(F.col("_chunk") == k), os.path.join(stem, f"{base}.{k:0{digits}d}{dot}{suffix}"), kind, compression, level, segments=len(segments), order="read_no,place", **hashes)
+    return os.path.join(stem, f"{base}.{number}{dot}{suffix}")
+
+
+def inspected_file(s, prefix: str, separator: str, kind: str) -> tuple[str, str]:
+    """The path and the format of an inspection."""
+    shape = s.details.get("format") or (kind if kind in ("fastq", "fasta") else "fastq")
+    label = "interleaved" if s.details["interleaved"] and len(s.details["segments"]) > 1 else s.details["segments"][0]
+    return writers.file_name(prefix, [s.name, label], s.details.get("suffix") or writers.SUFFIXES[shape], s.details.get("compression", "raw"), separator), shape
+
+
+def tag_file(s, prefix: str, group: str, separator: str) -> str:
+    shape = s.details.get("format") or "fastq"
+    return writers.file_name(prefix, [f"tag.{s.name}", group], writers.SUFFIXES[shape], s.details.get("compression", "raw"), separator)
+
+
+def side_files(reads: Reads, prefix: str, groups: list[str], separator: str, kind: str, o: dict) -> list[str]:
+    """The paths that write_sides will write."""
+    out = [f"{prefix}.{x}" for x in ("json", "html") if o.get(f"report_{x}")]
+    for s in reads.outputs:
+        own = groups if "_demux" in s.df.columns else [""]
+        if s.kind == "inspect":
+            out.append(inspected_file(s, prefix, separator, kind)[0])
+        elif s.kind == "progress" and s.name:
+            out.append(f"{prefix}{separator}{s.name}.progress")
+        elif s.kind == "table":
+            out += [writers.file_name(prefix, [s.name, g], "tsv", s.details.get("compression", "raw"), separator) for g in own]
+        elif s.kind == "tag reads":
+            out += [tag_file(s, prefix, g, separator) for g in own]
+        elif s.kind == "counts":
+            out += [writers.file_name(prefix, [s.name, g], "qr.json", "raw", separator) for g in own]
+    return out
 
 
 def write_sides(reads: Reads, plan: Plan, prefix: str, groups: list[str], separator: str, kind: str, began: float, o: dict) -> None:
@@ -182,9 +216,11 @@ def write_sides(reads: Reads, plan: Plan, prefix: str, groups: list[str], separa
                 rows = s.df
                 if s.details["demux"]:
                     rows = rows.withColumns({x: F.struct(F.concat(name(x), F.lit(" Demultiplex="), F.coalesce("_demux", F.lit(""))).alias("name"), seq(x).alias("seq"), qual(x).alias("qual")) for x in segments})
-                shape = kind if kind in ("fastq", "fasta") else "fastq"
-                label = "interleaved" if s.details["interleaved"] and len(segments) > 1 else segments[0]
-                writers.write_reads(records(rows, segments), writers.file_name(prefix, [s.name, label], writers.SUFFIXES[shape], "raw", separator), shape, order="read_no,place")
+                path, shape = inspected_file(s, prefix, separator, kind)
+                writers.write_reads(records(rows, segments), path, shape, s.details.get("compression", "raw"), order="read_no,place")
+        elif s.kind == "matched":
+            if not s.df.first()["matched"]:
+                raise ValueError(f"Demultiplex by '{s.name}': no molecule has any of the barcodes")
         elif s.kind == "progress":
             r = s.df.first()
             text = f"{r['molecules']} molecules in {time.time() - began:.1f} s\n"
@@ -197,9 +233,10 @@ def write_sides(reads: Reads, plan: Plan, prefix: str, groups: list[str], separa
             for g in groups if grouped else [""]:
                 rows = one(s.df, g)
                 if s.kind == "table":
-                    writers.write_table(rows, s.details["columns"], writers.file_name(prefix, [s.name, g], "tsv", "raw", separator))
+                    compression = s.details.get("compression", "raw")
+                    writers.write_table(rows, s.details["columns"], writers.file_name(prefix, [s.name, g], "tsv", compression, separator), compression)
                 elif s.kind == "tag reads":
-                    writers.write_reads(rows, writers.file_name(prefix, [f"tag.{s.name}", g], "fq", "raw", separator), "fastq")
+                    writers.write_reads(rows, tag_file(s, prefix, g, separator), s.details.get("format") or "fastq", s.details.get("compression", "raw"))
                 elif s.kind == "counts":
                     found = {r["key"]: r["count"] for r in rows.orderBy(F.desc("count"), F.lower("key")).toLocalIterator()}
                     with open(writers.file_name(prefix, [s.name, g], "qr.json", "raw", separator), "w") as f:

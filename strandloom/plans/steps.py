@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from strandloom.model import ConfigError, Reads
 from strandloom.operators import calc, demultiplex, edits, extract, filters, reports, tags, validate
+from strandloom.sources.writers import COMPRESSIONS, SUFFIXES
 
 #: A step's option without a default.
 NEEDED = object()
@@ -108,6 +109,17 @@ def condition(reads: Reads, o: dict) -> str | None:
     return o.get("if_tag")
 
 
+def told(reads: Reads, o: dict) -> Reads:
+    """The reads, whose last side output knows how its file is to be written."""
+    how = {k: o[k].lower() if k != "suffix" else o[k] for k in ("compression", "format", "suffix") if o.get(k)}
+    if how.get("compression", "raw") not in COMPRESSIONS:
+        raise ConfigError(f"unknown compression '{how['compression']}'")
+    if how.get("format", "fastq") not in SUFFIXES:
+        raise ConfigError(f"unknown format '{how['format']}'")
+    *others, last = reads.outputs
+    return replace(reads, outputs=(*others, replace(last, details=last.details | how)))
+
+
 def iupac_text(value: str) -> str:
     if not value or re.search(r"[^ATUCGRYSWKMBVDHN]", value.upper()):
         raise ConfigError(f"{value!r} is not a IUPAC pattern")
@@ -237,8 +249,8 @@ step("ConcatTags", in_labels=option(), out_label=option(), separator=option(""),
 step("HammingCorrect", in_label=option(), out_label=option(), barcodes=option(), max_hamming_distance=option(), on_no_match=option())(lambda r, o, c: tags.hamming_correct(r, known(r, o["in_label"]), o["out_label"], list(barcodes_of(c, o["barcodes"])), o["max_hamming_distance"], o["on_no_match"]))
 step("ForgetTag", in_label=option())(lambda r, o, c: tags.forget(r, [o["in_label"]]))
 step("ForgetAllTags")(lambda r, o, c: tags.forget(r, None))
-step("StoreTagsInTable", infix=option("tags"), in_labels=option(None), compression=option("raw"), region_separator=option("_"))(lambda r, o, c: tags.store_in_table(r, o["infix"], o["in_labels"], o["region_separator"]))
-step("StoreTagInFastQ", in_label=option(), comment_tags=option(None), comment_location_tags=option(None), format=option("fastq"), compression=option("raw"), region_separator=option("_"), **COMMENTS)(lambda r, o, c: tags.store_in_fastq(r, known(r, o["in_label"]), o["comment_tags"], o["comment_location_tags"], chr(byte(o["comment_separator"])), chr(byte(o["comment_insert_char"])), o["region_separator"]))
+step("StoreTagsInTable", infix=option("tags"), in_labels=option(None), compression=option("raw"), region_separator=option("_"))(lambda r, o, c: told(tags.store_in_table(r, o["infix"], o["in_labels"], o["region_separator"]), o))
+step("StoreTagInFastQ", in_label=option(), comment_tags=option(None), comment_location_tags=option(None), format=option("fastq"), compression=option("raw"), region_separator=option("_"), **COMMENTS)(lambda r, o, c: told(tags.store_in_fastq(r, known(r, o["in_label"]), o["comment_tags"], o["comment_location_tags"], chr(byte(o["comment_separator"])), chr(byte(o["comment_insert_char"])), o["region_separator"]), o))
 step("QuantifyTag", in_label=option(), infix=option(), region_separator=option("_"))(lambda r, o, c: tags.quantify(r, known(r, o["in_label"]), o["infix"], o["region_separator"]))
 
 
@@ -276,5 +288,5 @@ def _report(r: Reads, o: dict, c: Context) -> Reads:
     return reports.report(r, o["name"], parts, listed(o["count_oligos"] or []), only(r, o["count_oligos_segment"], True), [known(r, x) for x in listed(o["tag_histograms"] or [])])
 
 
-step("Inspect", n=option(), infix=option(), segment=option(None), suffix=option(None), format=option(None), compression=option("raw"))(lambda r, o, c: reports.inspect(r, o["n"], o["infix"], only(r, o["segment"], True)))
+step("Inspect", n=option(), infix=option(), segment=option(None), suffix=option(None), format=option(None), compression=option("raw"))(lambda r, o, c: told(reports.inspect(r, o["n"], o["infix"], only(r, o["segment"], True)), o))
 step("Progress", n=option(1_000_000), output_infix=option(None))(lambda r, o, c: reports.progress(r, positive(o["n"]), o["output_infix"]))

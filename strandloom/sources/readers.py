@@ -9,9 +9,12 @@ parallel, in order, and nothing is shuffled.
 
 from __future__ import annotations
 
+import atexit
 import gzip
 import io
 import struct
+import tempfile
+import uuid
 import zlib
 
 import pandas as pd
@@ -24,10 +27,55 @@ from strandloom.model import ConfigError, Reads
 SCHEMA = "read_no long, name string, seq string, qual string"
 
 
+def found_files(spark: SparkSession, path: str) -> list:
+    """The files, as Hadoop's Paths, that a path, a folder or a pattern names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, todo = [], list(fs.globStatus(at) or ())
+    for status in todo:
+        if status.isDirectory():
+            todo += [x for x in fs.listStatus(status.getPath()) if x.getPath().getName()[0] not in "._"]
+        else:
+            out.append(status.getPath())
+    if not out:
+        raise FileNotFoundError(path)
+    return out
+
+
+def first_bytes(spark: SparkSession, path: str, count: int = 65_536) -> bytes:
+    """A file's first bytes, and no more of it, through Hadoop's file system."""
+    file = found_files(spark, path)[0]
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    try:
+        return bytes(stream.readNBytes(count))
+    finally:
+        stream.close()
+
+
+def with_suffix(spark: SparkSession, path: str) -> str:
+    """The path of compressed text under a name by which Spark's text source knows its codec; a copy if its own name doesn't tell."""
+    suffix = {b"\x1f\x8b": ".gz", b"\x28\xb5": ".zst"}.get(first_bytes(spark, path, 2))
+    if suffix is None or path.endswith(suffix):
+        return path
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-")
+    (file,) = found_files(spark, path)
+    to = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{uuid.uuid4().hex}{suffix}")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(file.getFileSystem(conf), file, to.getFileSystem(conf), to, False, conf)
+    atexit.register(removed, spark, to)
+    return to.toString()
+
+
+def removed(spark: SparkSession, path) -> None:
+    try:
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may be gone
+        pass
+
+
 def sniffed(spark: SparkSession, path: str) -> str:
     """The format of a file by its first bytes: fastq, fasta or bam; compressed ones are looked into."""
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("head")).take(1)
-    head = bytes(rows[0]["head"]) if rows else b""
+    head = first_bytes(spark, path)
     if head[:2] == b"\x1f\x8b":
         head = zlib.decompressobj(31).decompress(head, 64)
     elif head[:4] == b"\x28\xb5\x2f\xfd":
@@ -211,12 +259,12 @@ def read_file(spark: SparkSession, paths: list[str], options: dict) -> DataFrame
         raise ConfigError(f"files of one segment have different formats: {sorted(kinds)}")
     kind = kinds.pop()
     if kind == "fasta":
-        return read_fasta(spark, paths, options.get("fasta_fake_quality", ""))
+        return read_fasta(spark, [with_suffix(spark, p) for p in paths], options.get("fasta_fake_quality", ""))
     if kind == "bam":
         if "bam_include_mapped" not in options or "bam_include_unmapped" not in options:
             raise ConfigError("a BAM file needs bam_include_mapped and bam_include_unmapped")
         return read_bam(spark, paths, options["bam_include_mapped"], options["bam_include_unmapped"])
-    return read_fastq(spark, paths)
+    return read_fastq(spark, [with_suffix(spark, p) for p in paths])
 
 
 def one_segment(df: DataFrame, segment: str = "read1") -> Reads:

@@ -8,6 +8,7 @@ ordered parts from the executors.
 from __future__ import annotations
 
 
+import glob
 import hashlib
 import io
 import os
@@ -158,9 +159,9 @@ def write_table(df: DataFrame, columns: list[str], path: str, compression: str =
     out.close()
 
 
-def claim(paths: list[str], marker: str) -> None:
-    """Refuses files that exist, unless the marker of a broken run is there; leaves the marker."""
-    found = [p for p in paths if os.path.exists(p)]
+def claim(paths: list[str], marker: str, patterns: list[str] = ()) -> None:
+    """Refuses files that exist, also by patterns of names, unless the marker of a broken run is there; leaves the marker."""
+    found = [p for p in paths if os.path.exists(p)] + [p for x in patterns for p in glob.glob(x)]
     if found and not os.path.exists(marker):
         raise FileExistsError(f"{found[0]} exists already")
     with open(marker, "w"):

@@ -9,6 +9,7 @@ duckdb = pytest.importorskip("duckdb")
 if not os.path.isdir(FOLDER):
     pytest.skip("no tables", allow_module_level=True)
 
+from strandloom import file_queries  # noqa: E402, F401  registers its queries
 from strandloom.queries import ORACLE, QUERIES  # noqa: E402
 
 

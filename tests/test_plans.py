@@ -230,3 +230,64 @@ def test_standard_streams(spark, tmp_path, rows, monkeypatch, capsys):
     assert main(["validate", str(tmp_path / "a.toml")]) == 1
     assert "n is missing" in capsys.readouterr().err
     assert main(["list-steps"]) == 0 and "ExtractIUPAC" in capsys.readouterr().out
+
+
+def test_checks_run_whatever_the_sinks_read(spark, tmp_path, rows):
+    from strandloom.operators import edits, filters, validate
+
+    (tmp_path / "a.fq").write_text(fastq([*rows[:20], ("bad c", "ACXT", "IIII")]))
+    text = "[input]\nread1 = 'a.fq'\n[[step]]\naction = 'ValidateSeq'\nsegment = 'read1'\nallowed = 'ACGT'\n[[step]]\naction = 'Report'\nname = 'r'\n[output]\nprefix = 'o'\nformat = 'none'\nreport_json = true\n"
+    with pytest.raises(Exception, match="aren't allowed"):
+        engine.run(spark, text, str(tmp_path))
+    r = readers.one_segment(readers.read_file(spark, [str(tmp_path / "a.fq")], {}))
+    for bad in (validate.sequences(r, "read1", "ACGT"), validate.qualities(r.with_df(r.df.withColumn("read1", F.col("read1").withField("qual", F.lit("\x7f")))), "read1", "sanger")):
+        for df in (bad.df.groupBy().count(), bad.df.select("read_no"), bad.df.select("read1.name")):
+            with pytest.raises(Exception, match="aren't allowed|outside"):
+                df.collect()
+    low = r.with_df(r.df.withColumn("read1", F.col("read1").withField("qual", F.lit("\x1f"))))
+    with pytest.raises(Exception, match="quality outside"):
+        edits.convert_quality(low, "sanger", "illumina13").df.groupBy().count().collect()
+    # what an earlier step removes is not checked, also across a join
+    kept = filters.kept(r, F.col("read1.name") != "bad c")
+    assert validate.sequences(kept, "read1", "ACGT").df.groupBy().count().first()[0] == 20
+    joined = r.with_df(r.df.join(spark.range(20).withColumnRenamed("id", "read_no"), "read_no"))
+    assert validate.sequences(joined, "read1", "ACGT").df.groupBy().count().first()[0] == 20
+
+
+def test_no_file_is_overwritten(spark, tmp_path, rows):
+    (tmp_path / "r1.fq").write_text(fastq(rows[:30]))
+    head = "[input]\nread1 = 'r1.fq'\n[[step]]\naction = 'CalcLength'\nsegment = 'read1'\nout_label = 'n'\n[[step]]\naction = 'StoreTagsInTable'\n[[step]]\naction = 'Inspect'\nn = 3\ninfix = 'look'\nsegment = 'read1'\n[output]\nprefix = 'o'\n"
+    engine.run(spark, head + "chunksize = 10\nreport_html = false\n", str(tmp_path))
+    made = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    assert {"o_read1.0.fq", "o_read1.2.fq", "o_tags.tsv", "o_look_read1.fq"} <= set(made)
+    for own in (("o_read1.0.fq", "o_read1.1.fq", "o_read1.2.fq"), ("o_tags.tsv",), ("o_look_read1.fq",)):
+        for n in made:
+            (tmp_path / n).unlink(missing_ok=True) if n.startswith("o_") and n not in own else None
+        with pytest.raises(FileExistsError):
+            engine.run(spark, head + "chunksize = 10\n", str(tmp_path))
+        for n, data in made.items():
+            (tmp_path / n).write_bytes(data)
+
+
+def test_groups_without_any_barcode(spark, tmp_path, rows):
+    (tmp_path / "r1.fq").write_text(fastq([r for r in rows if len(r[1]) > 5]))
+    text = "[input]\nread1 = 'r1.fq'\n[[step]]\naction = 'ExtractRegion'\nsource = 'read1'\nstart = 0\nlength = 3\nout_label = 'code'\n[[step]]\naction = 'Demultiplex'\nin_label = 'code'\nbarcodes = 'b'\noutput_unmatched = true\n[barcodes.b]\nAC = 'x'\nGT = 'y'\n[output]\nprefix = 'o'\n"
+    with pytest.raises(ValueError, match="no molecule"):
+        engine.run(spark, text, str(tmp_path))
+
+
+def test_files_are_opened_by_content(spark, tmp_path, rows):
+    import zstandard
+
+    (tmp_path / "a").write_bytes(gzip.compress(fastq(rows).encode()))
+    (tmp_path / "b.gz").write_bytes(zstandard.compress(fastq(rows[:9]).encode()))
+    (tmp_path / "c.fq").write_text(fastq(rows))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert collected(readers.read_file(spark, [str(tmp_path / "a")], {})) == rows
+        assert collected(readers.read_file(spark, [str(tmp_path / "b.gz")], {})) == rows[:9]
+        assert collected(readers.read_file(spark, [str(tmp_path / "c.fq")], {})) == rows
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    with pytest.raises(FileNotFoundError):
+        readers.sniffed(spark, str(tmp_path / "none"))
