@@ -49,11 +49,15 @@ def remove_path(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: the lineage ends there, and lost executors lose nothing."""
+def stored(df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: the lineage ends there, and lost executors lose nothing.
+
+    hashes: the columns are mostly hashes, which neither dictionaries nor compression make smaller.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write.option("parquet.enable.dictionary", "false").option("compression", "none") if hashes else df.write
+    writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back

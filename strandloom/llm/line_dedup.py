@@ -350,25 +350,41 @@ def connecting(table: pa.Table, least: float, reach: int) -> pa.Table:
     ids, classes, lines = (table[c].to_pylist() for c in ("id", "class", "line"))
     joined, a, b = Joined(classes), [], []
     bits, group = table["simhash"].to_numpy().view(np.uint64), np.array(classes)
+    known: dict[int, np.ndarray] = {}
+
+    def counts(k: int) -> np.ndarray:
+        if k not in known:
+            if len(known) >= 2048:
+                known.clear()
+            known[k] = triples(lines[k].decode()).astype(np.uint16)
+        return known[k]
+
+    length = np.array([len(x) if x.isascii() else len(x.decode()) for x in lines])
     for i in range(len(ids) - 1):
-        close = (np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= reach) & (group[i + 1 :] != group[i])
-        for j in (np.flatnonzero(close) + i + 1).tolist():
-            if joined.root(i) != joined.root(j) and alike(lines[i], lines[j], least):
-                joined.join(i, j)
-                a.append(min(ids[i], ids[j]))
-                b.append(max(ids[i], ids[j]))
+        close = np.flatnonzero((np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= reach) & (group[i + 1 :] != group[i])) + i + 1
+        for at in range(0, len(close), 512):
+            some = [j for j in close[at : at + 512].tolist() if joined.root(i) != joined.root(j)]
+            if len(some) > 1 and length[i] < 48_000:  # most that are unlike by runs of three characters go at once
+                longer = np.maximum(length[some], length[i])
+                shared = np.minimum(np.stack([counts(j) for j in some]), counts(i)).sum(axis=1)
+                some = np.array(some)[shared >= longer - 2 - 3 * ((1 - least) * longer + 1e-9).astype(np.int64)].tolist()
+            for j in some:
+                if joined.root(i) != joined.root(j) and alike(lines[i], lines[j], least):
+                    joined.join(i, j)
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text", reach: int = MOST_BITS) -> DataFrame:
     """(doc_id, line_no, fuzzy) of each line that is to be removed; fuzzy: not equal to the one that stays."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = stored(lines_of(source, least_words, reach > MOST_BITS), "lines")
+    every = stored(lines_of(source, least_words, reach > MOST_BITS), "lines", hashes=True)
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     nodes = every.groupBy("f1", "f2").agg(first, F.count("*").alias("n"), F.max("simhash").alias("simhash"), F.first("blocks").alias("blocks"))
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("id"), "f1", "f2", "first", "n", "simhash", "blocks"), "distinct-lines")
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("id"), "f1", "f2", "first", "n", "simhash", "blocks"), "distinct-lines", hashes=True)
     fuzzy = nodes.where("simhash is not null")
-    inside = stored(line_buckets(fuzzy.select("id", "simhash", "blocks"), reach), "buckets")
+    inside = stored(line_buckets(fuzzy.select("id", "simhash", "blocks"), reach), "buckets", hashes=True)
     nodes = nodes.drop("blocks")
 
     def texts_of(ids: DataFrame) -> DataFrame:
