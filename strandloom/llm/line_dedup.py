@@ -345,11 +345,10 @@ def with_partners(batches, reach: int):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in now[:, keep]], ["key", "part", "id", "class", "simhash"])
 
 
-def connecting(table: pa.Table, least: float, reach: int) -> pa.Table:
-    """Links (a, b) that join the classes of a group (id, class, simhash, line) as all links between its members would."""
-    ids, classes, lines = (table[c].to_pylist() for c in ("id", "class", "line"))
+def connecting(ids: list[int], classes: list[int], bits: np.ndarray, lines: list[bytes], least: float, reach: int) -> tuple[list[int], list[int]]:
+    """Links (a, b) that join the classes of a group of lines as all links between its members would."""
     joined, a, b = Joined(classes), [], []
-    bits, group = table["simhash"].to_numpy().view(np.uint64), np.array(classes)
+    group = np.array(classes)
     known: dict[int, np.ndarray] = {}
 
     def counts(k: int) -> np.ndarray:
@@ -373,7 +372,31 @@ def connecting(table: pa.Table, least: float, reach: int) -> pa.Table:
                     joined.join(i, j)
                     a.append(min(ids[i], ids[j]))
                     b.append(max(ids[i], ids[j]))
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return a, b
+
+
+def connected(batches, least: float, reach: int):
+    """connecting for each (key, part) of rows (key, part, id, class, simhash, line) in order of (key, part)."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is None:
+            now, held = held, None
+        else:
+            now = pa.concat_batches([held, batch]) if held is not None and held.num_rows else batch
+        if now is None or not now.num_rows:
+            continue
+        keys = np.stack([now.column(0).to_numpy(), now.column(1).to_numpy()])
+        first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+        if batch is not None:  # the last group may go on in the next batch
+            held, now = now.slice(first[-1]), now.slice(0, first[-1])
+        else:
+            first = np.append(first, now.num_rows)
+        ids, classes, bits, lines = now.column(2).to_pylist(), now.column(3).to_pylist(), now.column(4).to_numpy().view(np.uint64), now.column(5).to_pylist()
+        out: tuple[list, list] = ([], [])
+        for at, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            for x, y in zip(out, connecting(ids[at:end], classes[at:end], bits[at:end], lines[at:end], least, reach), strict=True):
+                x += y
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text", reach: int = MOST_BITS) -> DataFrame:
@@ -406,8 +429,8 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
     def within(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part")
         rows = stored(dealt.mapInArrow(lambda batches: with_partners(batches, reach), "key long, part long, id long, class long, simhash long"), "partners")
-        told = rows.join(texts_of(rows.select("id")), "id")
-        return told.groupBy("key", "part").applyInArrow(lambda t: connecting(t, similarity, reach), "a long, b long").distinct()
+        told = rows.join(texts_of(rows.select("id")), "id").repartition("key", "part").sortWithinPartitions("key", "part", "id")
+        return told.select("key", "part", "id", "class", "simhash", "line").mapInArrow(lambda batches: connected(batches, similarity, reach), "a long, b long").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         lines = texts_of(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))))

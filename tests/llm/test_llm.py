@@ -658,3 +658,23 @@ def test_clean_of_benchmark_keeps_columns_of_any_name(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     kept = decontaminate.clean_of_benchmark(df, bench)
     assert kept.schema == df.schema and sorted(tuple(r) for r in kept.collect()) == [(2, "four five", 8, None), (3, None, 9, "z")]
+
+
+def test_groups_of_lines_in_any_batches():
+    import pyarrow as pa
+
+    rng = random.Random(61)
+    base = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "rho", "tau"], k=12)).encode() for _ in range(8)]
+    rows = []
+    for k in range(120):
+        w = rng.choice(base).split()
+        w[rng.randrange(12)] = b"q%d" % rng.randrange(5)
+        rows.append((rng.randrange(6), rng.randrange(2), k, k // 2, 0, b" ".join(w)))
+    rows.sort()
+    links = [(a[2], b[2]) for a in rows for b in rows if a[:2] == b[:2] and a[2] < b[2] and a[3] != b[3] and line_dedup.edit_similarity(a[5], b[5]) >= 0.8]
+    same = [(2 * k, 2 * k + 1) for k in range(60)]
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+    for size in (1, 5, 33, 120):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size], strict=True), kinds, strict=True)], ["key", "part", "id", "class", "simhash", "line"]) for k in range(0, 120, size)]
+        got = [tuple(r.values()) for b in line_dedup.connected(iter(batches), 0.8, 16) for r in b.to_pylist()]
+        assert set(got) <= set(links) and roots(got + same, 120) == roots(links + same, 120)
