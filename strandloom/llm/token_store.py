@@ -27,10 +27,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import split_batches
+from strandloom.llm.common import maybe_broadcast, split_batches, stored
 from strandloom.llm.wordcache import WordCache
 
 MAGIC = b"DACSEG01"
@@ -38,6 +38,8 @@ HEAD = "<8sIIQQI"
 HEAD_BYTES = struct.calcsize(HEAD)
 #: Bits of a bitmap for which one rank is kept.
 BLOCK = 512
+#: Partitions whose ids are summed to one row of the driver when starts are made.
+PARTS = 4096
 
 
 def levels_of(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -153,14 +155,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Per document of the segments under path: its id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The driver keeps one start a file, as it lists files anyway.
+    Each file is read once.  What stands before a segment is summed on executors from the rows found, so that the driver
+    keeps a row only for every PARTS partitions that were written.
     """
     files = spark.read.format("binaryFile").load(path).where("length > 4")
-    heads = [struct.unpack(HEAD, bytes(r[0])) for r in files.select(F.substring("content", 1, HEAD_BYTES)).collect()]
-    starts, at = [], 0
-    for _, partition, k, _, n, _ in sorted(heads, key=lambda h: h[1:3]):
-        starts.append((partition, k, at))
-        at += n
 
     def run(batches):
         for batch in batches:
@@ -171,6 +169,13 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
                 n = len(sums)
                 yield pa.RecordBatch.from_arrays([pa.array([s.partition] * n, pa.int64()), pa.array([s.number] * n, pa.int64()), pa.array(s.doc_ids, pa.int64()), pa.array(begins), pa.array(s.ends - begins), pa.array(sums, pa.int64())], ["part", "number", id_col, "local", "n_tokens", "ids_crc32"])
 
-    rows = files.select("content").mapInArrow(run, f"part long, number long, `{id_col}` long, local long, n_tokens long, ids_crc32 long")
-    known = spark.createDataFrame(starts, "part long, number long, base long")
-    return rows.join(F.broadcast(known), ["part", "number"]).select(id_col, (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    rows = stored(files.select("content").mapInArrow(run, f"part long, number long, `{id_col}` long, local long, n_tokens long, ids_crc32 long"), "token-rows")
+    sizes = rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("size"))
+    inside = Window.partitionBy("part").orderBy("number")
+    segments = sizes.select("part", "number", (F.sum("size").over(inside) - F.col("size")).alias("before"), F.floor(F.col("part") / PARTS).alias("block"), "size")
+    whole = segments.groupBy("block", "part").agg(F.sum("size").alias("size"))
+    blocks = sorted((r["block"], r["size"]) for r in whole.groupBy("block").agg(F.sum("size").alias("size")).collect())
+    firsts = spark.createDataFrame([(b, sum(n for _, n in blocks[:k])) for k, (b, _) in enumerate(blocks)], "block long, first long")
+    parts = whole.join(F.broadcast(firsts), "block").select("part", (F.col("first") + F.sum("size").over(Window.partitionBy("block").orderBy("part")) - F.col("size")).alias("earlier"))
+    bases = stored(segments.join(parts, "part").select("part", "number", (F.col("earlier") + F.col("before")).alias("base")), "token-bases")
+    return rows.join(maybe_broadcast(bases, 32), ["part", "number"]).select(id_col, (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
