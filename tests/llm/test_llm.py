@@ -283,6 +283,22 @@ def test_urls(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[2], best[3])
     assert {r.verdict for r in url_filter.filter_urls(df, [], "allow").collect()} == {"allow"}
     assert url_filter.filter_urls(df.limit(0), rules).collect() == []
+    twice = url_filter.filter_urls(df.union(df), [*rules, *rules], "unknown")
+    assert twice.count() == 2 * len(urls) and twice.distinct().count() == len(urls)
+
+
+def test_urls_with_thousands_of_rules(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcé\"\\.*") for _ in range(3))
+    rules = [(rng.choice(["allow", "block"]), f"h{k % 700}.{rng.choice(['com', 'net'])}", f"/{word()}/") for k in range(30_000)]
+    rules = list({(h, p): (a, h, p) for a, h, p in rules}.values())
+    some = rng.sample(rules, 300)
+    urls = [f"http://{rng.choice(['', 'www.', 'x'])}{h}{p}{rng.choice(['', 'q'])}" for _, h, p in some]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filter.filter_urls(df, rules, "unknown").collect():
+        fits = [(len(h) + len(p), len(h), h + p, a) for a, h, p in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        best = max(fits, default=(0, 0, None, "unknown"))
+        assert (r.rule, r.verdict) == (best[2], best[3])
 
 
 # nearest neighbours
