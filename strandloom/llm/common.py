@@ -63,6 +63,11 @@ def stored(df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
     return back
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df itself if no shuffle makes it, so that a task that runs again has the same rows in the same order; else df stored."""
+    return stored(df, name) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a stored table that nothing reads any more."""
     remove_path(df.sparkSession, df.stored_at)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import split_batches
+from strandloom.llm.common import settled, split_batches
 
 #: An empty gzip member, as it stands after each file's last record.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff0300") + bytes(8)
@@ -65,7 +65,11 @@ def record(kind: str, record_id: str, uri: str, payload: bytes, refers_to: str |
 
 
 def write_archives(rows: DataFrame, path: str, least: int = 0, chunk_bytes: int = 16 << 20, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> None:
-    """Writes a record for each row under path."""
+    """Writes a record for each row under path.
+
+    Rows that repeat an id are told apart by their places, so rows that come out of a shuffle are stored before.
+    """
+    rows = settled(rows.select(id_col, uri_col, payload_col), "archive-rows")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"").cast("binary"))
     full = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row")).alias("me"), F.coalesce(F.col(uri_col), F.lit("")).alias("uri"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.length(payload).alias("size"))
     first = full.where(F.col("size") >= least).groupBy("digest").agg(F.min(F.struct("me.none", "me.id", "me.row")).alias("first"))

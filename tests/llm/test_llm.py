@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandloom.llm import ann, components, decontaminate, line_dedup, minhash, packing, quality, token_counts, token_store, url_filter, warc
+from strandloom.llm import ann, common, components, decontaminate, line_dedup, minhash, packing, quality, token_counts, token_store, url_filter, warc
 from strandloom.llm.wordcache import WordCache
 
 LONG = "wort " * 30_000
@@ -236,6 +236,11 @@ def test_warc_round_trip(spark, tmp_path):
     assert [r.id for r in warc.read_archives(spark, f"{tmp_path}/b").where("payload_bytes = 0 and record_type = 'response'").orderBy("id").collect()] == [7, 9]
     for part in (tmp_path / "a").glob("part-*"):
         gzip.decompress(part.read_bytes())
+    shuffled = pages.select("page_id", "url", "html").repartition(3)
+    assert common.settled(pages, "t") is pages and "Exchange" not in common.settled(shuffled, "t")._jdf.queryExecution().executedPlan().toString()
+    warc.write_archives(shuffled.union(shuffled), f"{tmp_path}/d")
+    kinds = Counter(r.payload_digest for r in warc.read_archives(spark, f"{tmp_path}/d").where("record_type = 'response'").collect())
+    assert len(kinds) == len(first) and set(kinds.values()) == {1}
     warc.write_archives(pages.limit(0), f"{tmp_path}/c")
     assert warc.read_archives(spark, f"{tmp_path}/c").count() == 0
 
