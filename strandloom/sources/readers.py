@@ -4,7 +4,8 @@ FASTQ text is read by Spark's text source, which splits large files anywhere.
 A first pass counts the lines of each split and keeps its first three; then
 each split knows which line of a record it starts with, and completes its last
 record with what the next split begins with.  So a file of any size is read in
-parallel, in order, and nothing is shuffled.
+parallel, in order, and nothing is shuffled.  BAM files are read in the same
+way, by their blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ import struct
 import tempfile
 import uuid
 import zlib
+from collections import deque
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -209,47 +213,221 @@ def read_fasta(spark: SparkSession, paths: list[str], fake_quality: str | int) -
     return numbered(frames)
 
 
-#: The letters of a BAM record's 4-bit bases.
-BAM_BASES = "=ACMGRSVTWYHKDBN"
+#: The letters of a BAM record's 4-bit bases, by hexadecimal digit; qualities as letters; what follows the first 12 bytes of each block of a BAM file.
+BAM_BASES = str.maketrans("0123456789abcdef", "=ACMGRSVTWYHKDBN")
+BAM_QUALITIES = bytes(min(q, 93) + 33 for q in range(256))
+BAM_MARK = b"BC\2\0"
+
+
+def bam_start(raw: bytes) -> int | None:
+    """Where a BAM file's first record starts; None if its header is longer than the given bytes."""
+    if raw[:4] != b"BAM\1"[: len(raw)]:
+        raise ValueError("not a BAM file")
+    try:
+        at = 8 + struct.unpack_from("<i", raw, 4)[0]
+        references = struct.unpack_from("<i", raw, at)[0]
+        at += 4
+        for _ in range(references):
+            at += 8 + struct.unpack_from("<i", raw, at)[0]
+    except struct.error:
+        return None
+    return at if at <= len(raw) else None
+
+
+def bam_record(raw: bytes, at: int) -> tuple[bool, str, str, str]:
+    """(is mapped, name, seq, qual) of the record at a place."""
+    reference, name_size, ops, bases = struct.unpack_from("<i4xB3xH2xi", raw, at + 4)
+    p = at + 36
+    name = raw[p : p + name_size - 1].decode("latin-1")
+    p += name_size + 4 * ops
+    end = p + (bases + 1) // 2
+    return reference >= 0, name, raw[p:end].hex().translate(BAM_BASES)[:bases], raw[end : end + bases].translate(BAM_QUALITIES).decode()
 
 
 def bam_records(data: bytes):
     """(is mapped, name, seq, qual) of a BAM file's bytes."""
     raw = gzip.decompress(data)
-    if raw[:4] != b"BAM\1":
-        raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", raw, 4)[0]
-    references = struct.unpack_from("<i", raw, at)[0]
-    at += 4
-    for _ in range(references):
-        at += 8 + struct.unpack_from("<i", raw, at)[0]
+    at = bam_start(raw)
+    if at is None:
+        raise ValueError("a BAM file's header is not complete")
     while at < len(raw):
-        size, reference = struct.unpack_from("<ii", raw, at)
-        name_size, ops, bases = raw[at + 12], struct.unpack_from("<H", raw, at + 16)[0], struct.unpack_from("<i", raw, at + 20)[0]
-        p = at + 36
-        name = raw[p : p + name_size - 1].decode("latin-1")
-        p += name_size + 4 * ops
-        packed = raw[p : p + (bases + 1) // 2]
-        seq = "".join(BAM_BASES[b >> 4] + BAM_BASES[b & 15] for b in packed)[:bases]
-        p += (bases + 1) // 2
-        yield reference >= 0, name, seq, "".join(chr(min(q, 93) + 33) for q in raw[p : p + bases])
-        at += 4 + size
+        size = bam_size(raw, at)
+        if size is None or at + size > len(raw):
+            raise ValueError("a BAM file's last record is not complete")
+        yield bam_record(raw, at)
+        at += size
+
+
+def bam_size(raw: bytes, at: int) -> int | None:
+    """The bytes of the record at a place, with those of its size, if the size is there."""
+    return 4 + struct.unpack_from("<i", raw, at)[0] if at + 4 <= len(raw) else None
+
+
+def bam_guess(raw: bytes, records: int = 64) -> int | None:
+    """The first place from which `records` records follow one another, else that with most; whether it is right shows when splits are put together."""
+    best, most = None, 0
+    for first in range(len(raw) - 36):
+        at, found = first, 0
+        while found < records and at + 36 <= len(raw):
+            size, reference, name_size, ops, bases = struct.unpack_from("<iixxxxB3xH2xi", raw, at)
+            if name_size < 1 or reference < -1 or bases < 0 or size < 32 + name_size + 4 * ops + (bases + 1) // 2 + bases:
+                break
+            if at + 36 + name_size <= len(raw) and raw[at + 35 + name_size]:
+                break
+            at, found = at + 4 + size, found + 1
+        else:
+            if found == records:
+                return first
+            if found > most:
+                best, most = first, found
+    return best
+
+
+def bam_blocks(pieces):
+    """The contents of blocks from what lies between the marks of a split; one that isn't whole is an error.
+
+    A piece is a block's size, data, sum and length, then the 12 bytes before
+    the next mark.  A mark that data contain by chance gives a short piece.
+    """
+    held = None
+    for piece in pieces:
+        held = piece if held is None else held + BAM_MARK + piece
+        size = struct.unpack_from("<H", held)[0] - 15 if len(held) >= 2 else len(held) + 1
+        if len(held) < size:
+            continue
+        if len(held) not in (size, size + 12):
+            raise ValueError("a BAM file's block has another length than it says")
+        data = zlib.decompress(held[2 : size - 8], -15)
+        if (zlib.crc32(data), len(data)) != struct.unpack_from("<II", held, size - 8):
+            raise ValueError("a BAM file's block is damaged")
+        held = None
+        yield data
+    if held is not None:
+        raise ValueError("a BAM file's last block is not complete")
+
+
+def bam_splits(batches):
+    """(start, pieces) of each split among rows (piece, start); the pieces must be read before the next split."""
+    rows = ((s, piece) for batch in batches for s, piece in zip(batch.column(1).to_pylist(), batch.column(0), strict=True))
+    for start, own in groupby(rows, itemgetter(0)):
+        pieces = (piece.as_py() for _, piece in own)
+        if start == 0:
+            next(pieces)  # what stands before the first mark
+        yield start, pieces
+
+
+def bam_layout(lines: DataFrame) -> list[dict] | None:
+    """Of each split of a BAM file in order: its start, records (mapped, others) that start in it, bytes before the first and of the last, if that goes on behind it.
+
+    Where a split's first record starts is guessed, and so proved: the first
+    split is known, and the last record of each must end where the next one's
+    first starts.  None if it doesn't, or if blocks lie across splits unseen.
+    """
+
+    def run(batches):
+        for start, pieces in bam_splits(batches):
+            raw, at, head, count, good = b"", None, b"", [0, 0], True
+            try:
+                for data in chain(bam_blocks(pieces), [b""]):
+                    raw += data
+                    if at is None:
+                        if start and data and len(raw) < 1 << 18:
+                            continue
+                        at = bam_guess(raw) if start else bam_start(raw)
+                        if at is None:
+                            continue
+                        head = raw[:at] if start else b""
+                    while (size := bam_size(raw, at)) is not None and at + size <= len(raw):
+                        count[struct.unpack_from("<i", raw, at + 4)[0] < 0] += 1
+                        at += size
+                    raw, at = raw[at:], 0
+                good = at == 0 or not raw
+            except (ValueError, zlib.error, struct.error):
+                good = False
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (start, *count, head, raw if good else b"", good)], ["start", "mapped", "others", "head", "tail", "good"])
+
+    splits = sorted((r.asDict() for r in lines.mapInArrow(run, "start long, mapped long, others long, head binary, tail binary, good boolean").collect()), key=itemgetter("start"))
+    splits = [r for k, r in enumerate(splits) if not k or r["mapped"] or r["others"] or r["head"] or r["tail"] or not r["good"]]
+    if not splits or splits[0]["start"] or not all(r["good"] for r in splits):
+        return None
+    for r, later in zip(splits, [*splits[1:], None], strict=True):
+        over = bytes(r["tail"]) + (bytes(later["head"]) if later else b"")
+        if over:
+            if bam_size(over, 0) != len(over):
+                return None
+            r["mapped" if struct.unpack_from("<i", over, 4)[0] >= 0 else "others"] += 1
+        r["after"] = over[len(r["tail"]) :]
+    return splits
+
+
+BAM_ROWS = 10_000
 
 
 def read_bam(spark: SparkSession, paths: list[str], include_mapped: bool, include_unmapped: bool) -> DataFrame:
-    """Records of BAM files, each file whole in one task."""
+    """Records of BAM files, in parallel and in order.
+
+    A file is split anywhere by Spark's text source, whose lines end at the mark
+    in each block's header.  Files that aren't made of such blocks are read
+    whole by a task each.
+    """
     if not (include_mapped or include_unmapped):
         raise ConfigError("include_mapped or include_unmapped must be true")
+    wanted = (include_unmapped, include_mapped)
 
-    def run(batches):
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+
+    def whole(batches):
         for batch in batches:
             for data in batch.column(0):
-                rows = [(0, k, n, s, q) for k, (mapped, n, s, q) in enumerate(bam_records(data.as_py())) if (include_mapped if mapped else include_unmapped)]
-                for k in range(0, len(rows), 10_000):
-                    columns = list(zip(*rows[k : k + 10_000], strict=True))
+                rows = [(0, k, n, s, q) for k, (mapped, n, s, q) in enumerate(bam_records(data.as_py())) if wanted[mapped]]
+                for k in range(0, len(rows), BAM_ROWS):
+                    columns = list(zip(*rows[k : k + BAM_ROWS], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "place", "name", "seq", "qual"])
 
-    return numbered([spark.read.format("binaryFile").load(p).select("content").mapInArrow(run, "part long, place long, name string, seq string, qual string") for p in paths])
+    out, base = None, 0
+    for path in (f.toString() for p in paths for f in found_files(spark, p)):
+        blocked = first_bytes(spark, path, 16)[10:] == b"\6\0" + BAM_MARK and not path.endswith((".gz", ".bz2", ".zst", ".deflate", ".snappy", ".lz4"))
+        lines = spark.read.option("lineSep", BAM_MARK.decode()).text(path).select(F.col("value").cast("binary"), F.col("_metadata.file_block_start").alias("start"))
+        splits = bam_layout(lines) if blocked else None
+        if splits is None:
+            found = numbered([spark.read.format("binaryFile").load(path).select("content").mapInArrow(whole, "part long, place long, name string, seq string, qual string")])
+            rows, n = found.select((F.col("read_no") + base).alias("read_no"), "name", "seq", "qual"), found.count()
+        else:
+            first, n = {}, 0
+            for r in splits:
+                first[r["start"]] = (base + n, len(r["head"]), bytes(r["after"]))
+                n += r["mapped"] * include_mapped + r["others"] * include_unmapped
+
+            def records(batches, first=first):
+                for start, pieces in bam_splits(batches):
+                    if start not in first:
+                        deque(pieces, 0)
+                        continue
+                    number, at, after = first[start]
+                    raw, rows = b"", []
+                    if not start:
+                        at = None
+                    for data in chain(bam_blocks(pieces), [after]):
+                        raw += data
+                        if at is None and (at := bam_start(raw)) is None or at > len(raw):
+                            continue
+                        while (size := bam_size(raw, at)) is not None and at + size <= len(raw):
+                            mapped, *row = bam_record(raw, at)
+                            at += size
+                            if wanted[mapped]:
+                                rows.append((number, *row))
+                                number += 1
+                        raw, at = raw[at:], 0
+                        if len(rows) >= BAM_ROWS:
+                            yield batch_of(rows)
+                            rows = []
+                    if rows:
+                        yield batch_of(rows)
+
+            rows = lines.mapInArrow(records, SCHEMA)
+        out, base = rows if out is None else out.unionAll(rows), base + n
+    return out
 
 
 def read_file(spark: SparkSession, paths: list[str], options: dict) -> DataFrame:

@@ -67,6 +67,34 @@ def test_fasta_and_bam(spark, tmp_path, rows):
         readers.read_file(spark, [str(tmp_path / "a.fa")], {})
 
 
+def test_bam_of_many_splits(spark, tmp_path):
+    rng = random.Random(8)
+    many = [(f"r{k} x", "".join(rng.choices("ACGTN", k=n)), "".join(rng.choices("!5?IJ", k=n))) for k in range(9000) for n in [rng.randrange(120)]]
+    expected = [(n.split(" ")[0], s, q) for n, s, q in many]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(many)], "read_no long, name string, seq string, qual string").repartition(5)
+    a, b = str(tmp_path / "a.bam"), str(tmp_path / "b.bam")
+    writers.write_reads(df, a, "bam")
+    raw = gzip.decompress((tmp_path / "a.bam").read_bytes())
+    (tmp_path / "b.bam").write_bytes(gzip.compress(raw))  # one member, no blocks
+    for size in ("128m", "70000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = readers.read_bam(spark, [a, b], False, True)
+            assert size == "128m" or got.rdd.getNumPartitions() > 4
+            assert collected(got) == expected * 2
+            assert [r.read_no for r in got.orderBy("read_no").collect()] == list(range(18_000))
+            assert readers.read_bam(spark, [a], True, False).count() == 0
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    block = writers.bam_block(b"some data" * 40)[18:]
+    pieces = [block[:2] + block[2:9], block[9:] + b"x" * 12]  # as if a mark stood in the data
+    with pytest.raises(ValueError, match="length|complete"):
+        list(readers.bam_blocks(pieces))
+    (tmp_path / "c.bam").write_bytes((tmp_path / "a.bam").read_bytes()[:-5000])
+    with pytest.raises(Exception, match="complete|EOF|ended"):
+        readers.read_bam(spark, [str(tmp_path / "c.bam")], False, True).collect()
+
+
 def test_zip_and_weave(spark, tmp_path, rows):
     (tmp_path / "a.fq").write_text(fastq(rows))
     df = readers.read_fastq(spark, [str(tmp_path / "a.fq")])
