@@ -9,10 +9,16 @@ mapped to 0..1 by a logistic curve that passes through `cut` at the threshold
 and whose slope is fitted on the learning labels, so score >= cut says that a
 document is above the quantile.
 
-The fit uses at most `most_labels` labelled documents of each class, those with
-the least hash of their id: a bound on what reaches the driver.  It serves the
-weights; for the quantile and the slope each class counts as much as it has
-labelled documents, sampled or not.  Scoring reads every whole text.  Features are shares of byte classes and of pairs of
+All labelled documents that aren't held out take part, each in one pair or more:
+they are dealt by the hash of their id to blocks of about BLOCK of either class,
+the smaller class's rows to as many blocks as it takes for each block to have
+both.  Pairs and features are rows of a table in the shared folder; executors sum
+gradients, order statistics and the slope's terms, and the driver gets a row a
+task.  Only a caller who gives `most_labels` has a fit on so many documents of
+each class, those with the least hash of their id; for the quantile and the
+slope each class counts then as much as it has labelled documents.
+
+Scoring reads every whole text.  Features are shares of byte classes and of pairs of
 neighbouring classes, lengths, repeated words and repeated lines.
 
 Null and empty texts have a score: that of a text without content.  Labels that
@@ -28,12 +34,17 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import split_batches
+from strandloom.llm.common import discard, maybe_broadcast, small_enough, split_batches, stored
 
 CLASSES = 10
+#: Learning documents of a class in a block, on average.
+BLOCK = 4096
+#: A fit has at least so many pairs; fewer documents are in more pairs each.
+PAIRS = 40_000
 
 
 def byte_classes() -> np.ndarray:
@@ -101,38 +112,144 @@ def weighted_quantile(values: np.ndarray, weights: np.ndarray, share: float) ->
     return float(np.interp(share, before / last, values[order])) if last > 0 else float(values[order[-1]])
 
 
-def fit(x: np.ndarray, good: np.ndarray, pairs: int = 40_000, penalty: float = 1.0, cut: float = 0.3, seed: int = 7, counts: tuple[int, int] | None = None) -> Ranking:
-    """The ranking learnt from rows of features and whether each is of the better class.
+def vectors(column: pa.Array) -> np.ndarray:
+    """Rows of N_FEATURES numbers from an array of their bytes."""
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
+    return np.frombuffer(column.buffers()[2] or b"", np.float32, len(column) * N_FEATURES, first).reshape(-1, N_FEATURES).astype(np.float64)
 
-    counts: documents of the worse and of the better class, if the rows are a sample by class.
-    """
-    better, worse = np.flatnonzero(good), np.flatnonzero(~good)
-    if not len(better) or not len(worse):
-        return Ranking(None, cut=cut)
+
+def as_bytes(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
+
+
+def paired(better: np.ndarray, worse: np.ndarray, rounds: int, seed: list[int]) -> np.ndarray:
+    """Differences of pairs in which each row of either side is at least `rounds` times."""
     rng = np.random.default_rng(seed)
-    scale = x.std(axis=0)
-    scale[scale < 1e-9] = np.inf  # a constant feature has no weight
-    d = (x[rng.choice(better, pairs)] - x[rng.choice(worse, pairs)]) / scale
-    w = np.zeros(x.shape[1])
+    n = max(len(better), len(worse))
+    better, worse = rng.permutation(better), rng.permutation(worse)
+    at = np.arange(n)
+    shifts = [0, *rng.integers(0, n, rounds - 1).tolist()]
+    return np.concatenate([better[at % len(better)] - worse[(at + k) % len(worse)] for k in shifts])
+
+
+def dealt(rows: DataFrame, worse: int, better: int, rounds: int, seed: int) -> DataFrame:
+    """(pair, good, x) of rows (key, good, mark, x): a row for each document and one for each pair; of rows that repeat a key that with the least mark serves."""
+    blocks = {False: -(-worse // BLOCK), True: -(-better // BLOCK)}
+    most = max(blocks.values())
+    kinds = F.when(F.col("good"), F.lit(blocks[True])).otherwise(F.lit(blocks[False])).cast("long")
+    own = F.pmod(F.xxhash64("key"), kinds)
+    spread = rows.withColumn("block", F.explode(F.sequence(own, F.lit(most - 1).cast("long"), kinds)))
+    ordered = spread.select("block", "good", "key", "mark", "x").repartition("block").sortWithinPartitions("block", "good", "key", "mark")
+
+    def out(block: int, held: list):
+        x, good = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        for kind in (False, True):
+            if block < blocks[kind]:  # later blocks have copies of the smaller class
+                some = x[good == kind]
+                yield pa.RecordBatch.from_arrays([pa.array([False] * len(some)), pa.array([kind] * len(some)), as_bytes(some)], ["pair", "good", "x"])
+        d = paired(x[good], x[~good], rounds, [seed, block])
+        for k in range(0, len(d), BLOCK):
+            some = d[k : k + BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(some)), pa.array([True] * len(some)), as_bytes(some)], ["pair", "good", "x"])
+
+    def run(batches):
+        at, held, last = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, keys = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            fresh = np.array([k != j for k, j in zip(keys, [last, *keys[:-1]], strict=True)])
+            fresh[1:] |= block[1:] != block[:-1]
+            fresh[0] |= block[0] != at
+            last = keys[-1]
+            x, good = vectors(batch.column(4)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if block[a] != at and held:
+                    yield from out(at, held)
+                    held = []
+                at = int(block[a])
+                held.append((x[a:b][fresh[a:b]], good[a:b][fresh[a:b]]))
+        if held:
+            yield from out(at, held)
+
+    return ordered.mapInArrow(run, "pair boolean, good boolean, x binary")
+
+
+def summed(rows: DataFrame, of) -> list[np.ndarray]:
+    """What `of`, a function of a batch's vectors, gives for a list of arrays, summed by executors; a row a task comes here."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                found = of(vectors(batch.column(0)))
+                total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(a, np.float64).tobytes()], pa.binary()) for a in total], [f"s{k}" for k in range(len(total))])
+
+    names = ["s0", "s1"]
+    parts = rows.select("x").mapInArrow(run, ", ".join(f"{c} binary" for c in names)).collect()
+    return [np.sum([np.frombuffer(r[c], np.float64) for r in parts], axis=0) for c in names]
+
+
+def fitted_weights(table: DataFrame, documents: int, pairs: int, penalty: float = 1.0) -> np.ndarray:
+    """The weights by Newton's method over all pairs of a table of dealt rows."""
+    rows, differences = table.where("not pair"), table.where("pair")
+    mean = summed(rows, lambda x: [x.sum(axis=0), np.zeros(1)])[0] / documents
+    scale = np.sqrt(summed(rows, lambda x: [((x - mean) ** 2).sum(axis=0), np.zeros(1)])[0] / documents)
+    scale[scale < 1e-7] = np.inf  # a constant feature has no weight
+    penalty *= max(1.0, pairs / PAIRS)  # as strong for a pair in a large table
+    w = np.zeros(N_FEATURES)
     for _ in range(12):
-        p = logistic(d @ w)
-        gradient = d.T @ (p - 1) + penalty * w
-        hessian = (d * (p * (1 - p) + 1e-9)[:, None]).T @ d + penalty * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
+
+        def terms(x, w=w):
+            d = x / scale
+            p = logistic(d @ w)
+            return [d.T @ (p - 1), ((d * (p * (1 - p) + 1e-9)[:, None]).T @ d).reshape(-1)]
+
+        gradient, hessian = summed(differences, terms)
+        step = np.linalg.solve(hessian.reshape(N_FEATURES, -1) + penalty * np.eye(N_FEATURES), gradient + penalty * w)
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    w = w / scale
-    raw = x @ w
-    n_worse, n_better = counts or (len(worse), len(better))
-    weight = np.where(good, n_better / len(better), n_worse / len(worse))
-    t = weighted_quantile(raw, weight, n_worse / (n_worse + n_better))
-    slope, offset = 1.0, np.log(cut / (1 - cut))
+    return w / scale
+
+
+def ranked(raw: DataFrame, rank: int) -> float:
+    """The value of column raw with `rank` values before it in order: bins of the range that has it are counted until it holds one value."""
+    low, high = raw.agg(F.min("raw"), F.max("raw")).first()
+    while low < high:
+        place = F.least(F.floor((F.col("raw") - low) / (high - low) * 4096), F.lit(4095))
+        for r in sorted(raw.where(F.col("raw").between(low, high)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high")).collect()):
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        low, high = r["low"], r["high"]
+    return low
+
+
+def quantile(raw: DataFrame, n: int, share: float) -> float:
+    """np.quantile of column raw, which has n rows."""
+    place = share * (n - 1)
+    rank = min(int(place), n - 1)
+    at = ranked(raw, rank)
+    upto, above = raw.agg(F.count(F.when(F.col("raw") <= at, 1)), F.min(F.when(F.col("raw") > at, F.col("raw")))).first()
+    return at if upto > rank + 1 or above is None else at + (above - at) * (place - rank)
+
+
+def fitted_slope(raw: DataFrame, t: float, cut: float, weights: tuple[float, float]) -> float:
+    """The slope of the logistic curve through cut at t, by Newton's method over all rows (raw, good)."""
+    slope, offset = 1.0, float(np.log(cut / (1 - cut)))
+    good, z = F.col("good").cast("double"), F.col("raw") - t
+    weight = F.when(F.col("good"), F.lit(weights[1])).otherwise(F.lit(weights[0]))
     for _ in range(30):
-        p = logistic(slope * (raw - t) + offset)
-        step = float((weight * (p - good) * (raw - t)).sum()) / (float((weight * p * (1 - p) * (raw - t) ** 2).sum()) + 1e-6)
-        slope = min(max(slope - np.clip(step, -1, 1), 0.05), 50.0)
-    return Ranking(w, t, float(slope), cut)
+        p = 1 / (1 + F.exp(-F.least(F.greatest(z * slope + offset, F.lit(-500.0)), F.lit(500.0))))
+        first, second = raw.agg(F.sum(weight * (p - good) * z), F.sum(weight * p * (1 - p) * z * z)).first()
+        before, slope = slope, min(max(slope - float(np.clip(first / (second + 1e-6), -1, 1)), 0.05), 50.0)
+        if abs(slope - before) < 1e-9 * slope:
+            break
+    return slope
 
 
 def held_out(id_col: str = "doc_id"):
@@ -140,29 +257,50 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_labels: int = 6000, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> Ranking:
-    """The ranking learnt from labelled documents that aren't held out; the weights from at most most_labels of each class."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg((F.avg(label_col) >= 0.5).alias("good"))
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_labels: int | None = None, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Ranking:
+    """The ranking learnt from all labelled documents that aren't held out; from at most most_labels of each class only if that is given."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("key")).agg((F.avg(label_col) >= 0.5).alias("good"))
     # a label without a document is none of the learning documents
-    there = known.join(docs.select(id_col), id_col, "left_semi")
-    counts = {r["good"]: r["n"] for r in there.groupBy("good").agg(F.count("*").alias("n")).collect()}
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    chosen = known.where("good").orderBy(*order).limit(most_labels).unionAll(known.where("not good").orderBy(*order).limit(most_labels))
-    # of rows that repeat an id one text serves, so that the sample stays bounded
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col, "good").agg(F.min(text_col).alias(text_col)).select(id_col, text_col, "good")
+    known = stored(known.join(docs.select(F.col(id_col).alias("key")), "key", "left_semi"), "labelled")
+    counts = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return Ranking(None, cut=cut)
+    used = dict(counts)
+    if most_labels is not None:
+        order = [F.xxhash64("key"), F.col("key")]
+        known = stored(known.where("good").orderBy(*order).limit(most_labels).unionAll(known.where("not good").orderBy(*order).limit(most_labels)), "labelled")
+        used = {k: min(n, most_labels) for k, n in counts.items()}
 
     def run(batches):
-        for batch in split_batches(batches, text_col):
-            x = features(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["key", "good", "x"])
-
+        for batch in split_batches(batches, "text"):
+            texts = batch.column(1).to_pylist()
+            marks = [xxhash.xxh3_64_intdigest((t or "").encode()) >> 1 for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), as_bytes(features(texts))], ["key", "mark", "x"])
+
+    texts = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    if small_enough(known, 24):  # else features are shuffled, which are smaller than texts
+        texts = texts.join(F.broadcast(known.select("key")), "key", "left_semi")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"key {kind}, good boolean, x array<double>").toPandas()
-    if not len(rows):
-        return Ranking(None, cut=cut)
-    x, good = np.stack(rows["x"].to_numpy()), rows["good"].to_numpy(dtype=bool)
-    order = np.lexsort([*x.T[:12], rows["key"].to_numpy()])  # the fit doesn't depend on the order of rows
-    return fit(x[order], good[order], cut=cut, counts=(counts.get(False, 0), counts.get(True, 0)))
+    rows = texts.mapInArrow(run, f"key {kind}, mark long, x binary").join(maybe_broadcast(known, 24), "key")
+    rounds = -(-PAIRS // max(used.values()))
+    table = stored(dealt(rows, used[False], used[True], rounds, seed), "learning")
+    w = fitted_weights(table, sum(used.values()), table.where("pair").count())
+
+    def run_raw(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors(batch.column(1)) @ w)], ["good", "raw"])
+
+    raw = stored(table.where("not pair").select("good", "x").mapInArrow(run_raw, "good boolean, raw double"), "raw")
+    share, weights = counts[False] / sum(counts.values()), tuple(counts[k] / used[k] for k in (False, True))
+    if most_labels is None:
+        t = quantile(raw, sum(used.values()), share)
+    else:
+        some = raw.toPandas()
+        t = weighted_quantile(some["raw"].to_numpy(), np.where(some["good"].to_numpy(dtype=bool), weights[1], weights[0]), share)
+    slope = fitted_slope(raw, t, cut, weights)
+    for df in (known, table, raw):
+        discard(df)
+    return Ranking(w, t, float(slope), cut)
 
 
 def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

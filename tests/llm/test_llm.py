@@ -198,6 +198,29 @@ def test_quality(spark, docs, none):
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_quality_learns_from_all(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 50)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 8)))
+    # 7,500 plain better ones and 60 worse ones: a fit on the 6,000 of least hash missed some
+    df = spark.createDataFrame([(k, " ".join(word().upper() + "!" if rng.random() < (0.5 if k % 126 == 0 else 0.2) else word() for _ in range(12))) for k in range(7560)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k % 126 != 0)) for k in range(7560)], "doc_id long, quality int")
+    made = []
+    monkeypatch.setattr(quality, "stored", lambda d, name, **how: made.append((name, common.stored(d, name, **how))) or made[-1][1])
+    monkeypatch.setattr(quality, "discard", lambda d: None)
+    model = quality.learn(df, labels)
+    held = [k for k in range(7560) if zlib.crc32(str(k).encode()) % 5 == 0]
+    table = dict(made)["learning"]
+    assert table.where("not pair and good").count() == sum(k % 126 != 0 for k in range(7560)) - sum(k % 126 != 0 for k in held)
+    assert table.where("pair").count() >= quality.PAIRS
+    raw = np.array([r.raw for r in dict(made)["raw"].collect()])
+    worse = sum(k % 126 == 0 for k in range(7560) if k not in set(held))
+    assert model.threshold == pytest.approx(np.quantile(raw, worse / len(raw)))
+    assert np.allclose(quality.learn(df.repartition(2), labels).weights, model.weights)
+    d = quality.paired(np.arange(7.0)[:, None], 100 * np.arange(1, 4.0)[:, None], 2, [1, 2])
+    assert len(d) == 14 and {round(float(x)) % 100 for x in d[:, 0]} == set(range(7)) and {-(round(float(x)) // 100) for x in d[:, 0]} == {1, 2, 3}
+
+
 def test_quality_of_a_capped_sample(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 8)))
