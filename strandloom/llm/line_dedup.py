@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import maybe_broadcast, split_batches, stored
+from strandloom.llm.common import maybe_broadcast, split_batches, stored, tidy
 from strandloom.llm.near_groups import Joined, labelled, near_classes
 
 #: Bits in which SimHashes may differ that blocks of bits bring together without loss.
@@ -74,6 +74,80 @@ def hashed(lines: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(w) for w in lines], dtype=np.int64), np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, chain.from_iterable(lines))), np.uint8).reshape(-1, 8)
 
 
+#: The secret of XXH3 as far as words of up to 16 bytes use it, as 64-bit numbers.
+SECRET = np.frombuffer(bytes.fromhex("b8fe6c3923a44bbe7c01812cf721ad1cded46de9839097db7240a4a4b7b3671fcb79e64eccc0e578825ad07dccff7221b8084674f743248ee03590e6813a264c"), "<u8")
+
+
+def folded(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The halves of 128-bit products, combined by exclusive or."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    ll, hl, lh, hh = (x & low) * (y & low), (x >> half) * (y & low), (x & low) * (y >> half), (x >> half) * (y >> half)
+    cross = (ll >> half) + (hl & low) + lh
+    return ((hl >> half) + (cross >> half) + hh) ^ ((cross << half) | (ll & low))
+
+
+def word_hashes(data: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """xxhash.xxh3_64 of each range of data, of numbers at once; the library's for ranges of more than 16 bytes."""
+    u = np.uint64
+    a = np.frombuffer(data + bytes(8), np.uint8)
+    eight = np.lib.stride_tricks.sliding_window_view(a, 8)
+    read = lambda at: np.ascontiguousarray(eight[at]).view("<u8")[:, 0]
+    rolled = lambda h, k: (h << u(k)) | (h >> u(64 - k))
+    out = np.zeros(len(starts), np.uint64)
+    if len(k := np.flatnonzero(size <= 3)):
+        at, n = starts[k], size[k]
+        h = a[at].astype(u) << u(16) | a[at + n // 2].astype(u) << u(24) | a[at + n - 1].astype(u) | n.astype(u) << u(8)
+        h ^= (SECRET[0] ^ (SECRET[0] >> u(32))) & u(0xFFFFFFFF)
+        h = (h ^ (h >> u(33))) * u(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> u(29))) * u(0x165667B19E3779F9)
+        out[k] = h ^ (h >> u(32))
+    if len(k := np.flatnonzero((size > 3) & (size <= 8))):
+        at, n = starts[k], size[k]
+        low = u(0xFFFFFFFF)
+        h = ((read(at + n - 4) & low) + ((read(at) & low) << u(32))) ^ (SECRET[1] ^ SECRET[2])
+        h = (h ^ rolled(h, 49) ^ rolled(h, 24)) * u(0x9FB21C651E98DF25)
+        h = (h ^ ((h >> u(35)) + n.astype(u))) * u(0x9FB21C651E98DF25)
+        out[k] = h ^ (h >> u(28))
+    if len(k := np.flatnonzero((size > 8) & (size <= 16))):
+        at, n = starts[k], size[k]
+        x, y = read(at) ^ (SECRET[3] ^ SECRET[4]), read(at + n - 8) ^ (SECRET[5] ^ SECRET[6])
+        h = n.astype(u) + x.byteswap() + y + folded(x, y)
+        h = (h ^ (h >> u(37))) * u(0x165667919E3779F9)
+        out[k] = h ^ (h >> u(32))
+    for k in np.flatnonzero(size > 16).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : starts[k] + size[k]])
+    return out
+
+
+def normal_lines(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(normalised line, number of its text, number in the text, number of words) of each line with words, and its distinct words as `hashed` gives them."""
+    parts = [t.lower().encode().translate(TEXT_NORMAL) for t in texts]
+    data = b"\n".join(parts)
+    a = np.frombuffer(data, np.uint8)
+    inside = a > 32
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    lines_in = np.array([x.count(b"\n") + 1 for x in parts], dtype=np.int64)
+    line = np.searchsorted(np.flatnonzero(a == 10), starts)
+    words = np.bincount(line, minlength=int(lines_in.sum()))
+    some = np.flatnonzero(words)
+    text = np.repeat(np.arange(len(parts)), lines_in)
+    number = np.arange(len(words)) - np.repeat(np.cumsum(lines_in) - lines_in, lines_in)
+    # one byte, a space, stays between words of a line
+    keep = inside.copy()
+    keep[ends[:-1][line[1:] == line[:-1]]] = True
+    compact = a[keep].tobytes()
+    upto = np.cumsum(np.bincount(line, ends - starts, len(words)).astype(np.int64)[some] + words[some] - 1).tolist()
+    normal = [compact[x:y] for x, y in zip([0, *upto], upto, strict=False)]
+    h = word_hashes(data, starts, ends - starts)
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    fresh = np.ones(len(h), dtype=bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    h, line = h[fresh], line[fresh]
+    return normal, text[some], number[some], words[some], (np.bincount(line, minlength=len(words))[some], h)
+
+
 def parts_of(size: np.ndarray, most: int = 20_000):
     """Ranges of lines with some thousands of words in all; a long line stands alone."""
     ends = np.cumsum(size)
@@ -167,6 +241,18 @@ def triples(x: str) -> np.ndarray:
     return np.bincount((c[:-2] * np.uint32(961) + c[1:-1] * np.uint32(31) + c[2:]) & np.uint32(2047), minlength=2048)
 
 
+def most_equal(n: int, equal) -> int:
+    """The largest k up to n whose range 0 to k is equal, by halving; equal tells it of any range i to j."""
+    low = 0
+    while low < n:
+        half = (low + n + 1) // 2
+        if equal(low, half):
+            low = half
+        else:
+            n = half - 1
+    return low
+
+
 def edit_similarity(a: bytes, b: bytes, least: float = 0.0) -> float:
     """1 - Levenshtein distance / longer length, of characters; 0.0 if it is found to be below `least` on the way."""
     if a == b:
@@ -177,12 +263,8 @@ def edit_similarity(a: bytes, b: bytes, least: float = 0.0) -> float:
     if abs(len(x) - len(y)) > allowed:
         return 0.0
     n = min(len(x), len(y))
-    k = 0
-    while k < n and x[k] == y[k]:
-        k += 1
-    e = 0
-    while e < n - k and x[-1 - e] == y[-1 - e]:
-        e += 1
+    k = most_equal(n, lambda i, j: x[i:j] == y[i:j])
+    e = most_equal(n - k, lambda i, j: x[len(x) - j : len(x) - i] == y[len(y) - j : len(y) - i])
     x, y = x[k : len(x) - e], y[k : len(y) - e]
     if not x or not y:
         return 1 - max(len(x), len(y)) / longer
@@ -227,22 +309,19 @@ def lines_of(docs: DataFrame, least_words: int, by_words: bool = False) -> DataF
     """(doc_id, line_no, f1, f2, simhash, blocks) of each line with words; simhash is null for short ones, blocks are the keys by words, if asked for."""
 
     def run(batches):
-        for batch in split_batches(batches, "text", 2 << 20):
-            ids, numbers, owners, words = batch.column(0).to_pylist(), [], [], []
-            for doc_id, text in zip(ids, batch.column(1).to_pylist(), strict=True):
-                for k, line in enumerate(text.lower().encode().translate(TEXT_NORMAL).split(b"\n")) if text else ():
-                    if w := line.split():  # as line_words
-                        numbers.append(k)
-                        owners.append(doc_id)
-                        words.append(w)
-            prints = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, map(b" ".join, words))), np.int64).reshape(-1, 2)
-            short = np.array([len(w) < least_words for w in words], dtype=bool)
-            compared = [() if len(w) < least_words else set(w) for w in words]
-            hashes = hashed(compared)
+        for batch in split_batches(batches, "text", 1 << 20):
+            kept = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t]
+            normal, text, numbers, words, (sizes, flat) = normal_lines([t for _, t in kept])
+            owners = np.array([i for i, _ in kept], dtype=np.int64)[text]
+            prints = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, normal)), np.int64).reshape(-1, 2)
+            short = words < least_words
+            flat = flat[np.repeat(~short, sizes)].byteswap().view(np.uint8).reshape(-1, 8)
+            sizes = np.where(short, 0, sizes)
+            compared, hashes = range(len(words)), (sizes, flat)
             blocks = word_blocks(compared, hashes) if by_words else pa.array([()] * len(words), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(simhashes(compared, hashes), mask=short), blocks], ["doc_id", "line_no", "f1", "f2", "simhash", "blocks"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line_no int, f1 long, f2 long, simhash long, blocks array<long>")
+    return docs.where("doc_id is not null").mapInArrow(tidy(run), "doc_id long, line_no int, f1 long, f2 long, simhash long, blocks array<long>")
 
 
 def block_keys(simhash, lines: int):
@@ -299,7 +378,7 @@ def line_buckets(nodes: DataFrame, reach: int) -> DataFrame:
     """(key, id, centre, near, simhash) of buckets of lines (id, simhash, blocks) which blocks bring together, in one shuffle."""
     keys = F.col("blocks") if reach > MOST_BITS else block_keys(F.col("simhash"), nodes.count())
     members = nodes.select(F.explode(keys).alias("key"), "id", "simhash").repartition("key").sortWithinPartitions("key", "id")
-    return members.mapInArrow(lambda batches: gathered(batches, reach), "key long, id long, centre long, near boolean, simhash long")
+    return members.mapInArrow(tidy(lambda batches: gathered(batches, reach)), "key long, id long, centre long, near boolean, simhash long")
 
 
 def similar(batches, least: float):
@@ -424,19 +503,19 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int =
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["id", "line"])
 
         lines = source.where("text is not null").join(maybe_broadcast(wanted, 64, F.size("wanted") * 24), "doc_id").select("text", "wanted")
-        return stored(lines.mapInArrow(texts, "id long, line binary"), "wanted-lines")
+        return stored(lines.mapInArrow(tidy(texts), "id long, line binary"), "wanted-lines")
 
     def within(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part")
-        rows = stored(dealt.mapInArrow(lambda batches: with_partners(batches, reach), "key long, part long, id long, class long, simhash long"), "partners")
+        rows = stored(dealt.mapInArrow(tidy(lambda batches: with_partners(batches, reach)), "key long, part long, id long, class long, simhash long"), "partners")
         told = rows.join(texts_of(rows.select("id")), "id").repartition("key", "part").sortWithinPartitions("key", "part", "id")
-        return told.select("key", "part", "id", "class", "simhash", "line").mapInArrow(lambda batches: connected(batches, similarity, reach), "a long, b long").distinct()
+        return told.select("key", "part", "id", "class", "simhash", "line").mapInArrow(tidy(lambda batches: connected(batches, similarity, reach)), "a long, b long").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         lines = texts_of(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))))
         told = lambda name: lines.select(F.col("id").alias(name), F.col("line").alias(f"{name}_line"))
         side = pairs.join(told("a"), "a").join(told("b"), "b").select("a", "b", "a_line", "b_line")
-        return side.mapInArrow(lambda batches: similar(batches, similarity), "a long, b long").distinct()
+        return side.mapInArrow(tidy(lambda batches: similar(batches, similarity)), "a long, b long").distinct()
 
     classes = near_classes(inside, verify, within, chunk=LINES, carried=["simhash"])
     placed = labelled(nodes, classes, "id")
@@ -457,7 +536,7 @@ def without_repeats(docs: DataFrame, similarity: float, least_words: int, id_col
 
     def run(batches):
         for big in batches:
-            for batch in split_batches([big], text_col, 16 << 20):
+            for batch in split_batches([big], text_col, 4 << 20):
                 texts, n_lines, n_exact, n_fuzzy = batch.column(place).to_pylist(), [], [], []
                 for k, (t, some) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
                     fuzzy = sum(x < 0 for x in some) if some else 0
@@ -471,7 +550,7 @@ def without_repeats(docs: DataFrame, similarity: float, least_words: int, id_col
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (n_lines, n_exact, n_fuzzy))], [*batch.schema.names[:-1], "__n_lines", "__n_exact", "__n_fuzzy"])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__n_lines", "__n_exact", "__n_fuzzy"))])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text", reach: int = MOST_BITS) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import discard, maybe_broadcast, small_enough, split_batches, stored
+from strandloom.llm.common import discard, maybe_broadcast, small_enough, split_batches, stored, tidy
 
 CLASSES = 10
 #: Learning documents of a class in a block, on average.
@@ -173,7 +173,7 @@ def dealt(rows: DataFrame, worse: int, better: int, rounds: int, seed: int) -> D
         if held:
             yield from out(at, held)
 
-    return ordered.mapInArrow(run, "pair boolean, good boolean, x binary")
+    return ordered.mapInArrow(tidy(run), "pair boolean, good boolean, x binary")
 
 
 def summed(rows: DataFrame, of) -> list[np.ndarray]:
@@ -189,7 +189,7 @@ def summed(rows: DataFrame, of) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([np.asarray(a, np.float64).tobytes()], pa.binary()) for a in total], [f"s{k}" for k in range(len(total))])
 
     names = ["s0", "s1"]
-    parts = rows.select("x").mapInArrow(run, ", ".join(f"{c} binary" for c in names)).collect()
+    parts = rows.select("x").mapInArrow(tidy(run), ", ".join(f"{c} binary" for c in names)).collect()
     return [np.sum([np.frombuffer(r[c], np.float64) for r in parts], axis=0) for c in names]
 
 
@@ -281,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_l
     if small_enough(known, 24):  # else features are shuffled, which are smaller than texts
         texts = texts.join(F.broadcast(known.select("key")), "key", "left_semi")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = texts.mapInArrow(run, f"key {kind}, mark long, x binary").join(maybe_broadcast(known, 24), "key")
+    rows = texts.mapInArrow(tidy(run), f"key {kind}, mark long, x binary").join(maybe_broadcast(known, 24), "key")
     rounds = -(-PAIRS // max(used.values()))
     table = stored(dealt(rows, used[False], used[True], rounds, seed), "learning")
     w = fitted_weights(table, sum(used.values()), table.where("pair").count())
@@ -290,7 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_l
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors(batch.column(1)) @ w)], ["good", "raw"])
 
-    raw = stored(table.where("not pair").select("good", "x").mapInArrow(run_raw, "good boolean, raw double"), "raw")
+    raw = stored(table.where("not pair").select("good", "x").mapInArrow(tidy(run_raw), "good boolean, raw double"), "raw")
     share, weights = counts[False] / sum(counts.values()), tuple(counts[k] / used[k] for k in (False, True))
     if most_labels is None:
         t = quantile(raw, sum(used.values()), share)
@@ -314,7 +314,7 @@ def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= m.cut).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
@@ -327,4 +327,4 @@ def keep_good(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFr
         for batch in split_batches(batches, text_col):
             yield batch.filter(pa.array(m.scores(batch.column(place).to_pylist()) >= m.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -175,6 +175,22 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.find_benchmark(none, bench).collect() == []
 
 
+def test_lines_as_numbers():
+    rng = random.Random(4)
+    alphabet = "aAbz 0 9\n\n-é漢İ\t\x7f\x85"
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(1, 90))) for _ in range(300)] + ["x" * 17 + " " + "y" * 300, "\n", " ", " ".join("q" * k for k in range(1, 40)), "a a b a\nb b"]
+    got = line_dedup.normal_lines(texts)
+    want = [(line_dedup.line_words(x), i, k) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if line_dedup.line_words(x)]
+    assert got[0] == [b" ".join(w) for w, _, _ in want]
+    assert list(zip(got[1].tolist(), got[2].tolist(), got[3].tolist(), strict=True)) == [(i, k, len(w)) for w, i, k in want]
+    sizes, flat = got[4]
+    assert sizes.tolist() == [len(set(w)) for w, _, _ in want]
+    assert flat.tolist() == [h for w, _, _ in want for h in sorted(xxhash.xxh3_64_intdigest(x) for x in set(w))]
+    assert len(line_dedup.normal_lines([" \n"])[0]) == 0 and line_dedup.normal_lines([])[0] == []
+    for a, b in (("", ""), ("abc", "abd"), ("xbc", "abc"), ("aab", "aaab")):
+        assert line_dedup.most_equal(min(len(a), len(b)), lambda i, j: a[i:j] == b[i:j]) == max(k for k in range(min(len(a), len(b)) + 1) if a[:k] == b[:k])
+
+
 # quality
 
 
