@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import discard, stored
+from strandloom.llm.common import discard, stored, tidy
 
 #: Edges that one task labels (16 bytes each).
 SMALL = 1 << 20
@@ -55,7 +55,7 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
                 node, of = labels(*(np.concatenate(c) for c in zip(*parts, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(of)], ["id", "class"])
 
-        return now.coalesce(1).mapInArrow(run, "id long, class long")
+        return now.coalesce(1).mapInArrow(tidy(run), "id long, class long")
     before = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()

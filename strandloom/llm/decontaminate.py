@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import discard, process_cache, split_batches, stored
+from strandloom.llm.common import discard, process_cache, split_batches, stored, tidy
 
 #: Each byte as it stands among words: A-Z lower-cased, other ASCII beside digits and a-z a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -111,8 +111,8 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, shard_bytes: int):
     yield held
 
 
-def _scan(docs: DataFrame, items, window: int, text_col: str) -> DataFrame:
-    """docs with matches of one shard added to the columns __ranges and __items."""
+def _scan(docs: DataFrame, items, window: int, text_col: str):
+    """A function of batches of docs that adds the matches of one shard to the columns __ranges and __items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     place = docs.columns.index(text_col)
     token = uuid.uuid4().hex
@@ -132,7 +132,7 @@ def _scan(docs: DataFrame, items, window: int, text_col: str) -> DataFrame:
             arrays = [*batch.columns[:-2], pa.array(ranges, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, shard_bytes: int = 1 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -145,15 +145,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_
     found = keep.withColumns({"__ranges": F.expr("cast(array() as array<int>)"), "__items": F.expr("cast(array() as array<string>)")})
     for k, items in enumerate(shards(benchmark, item_id, item_text, shard_bytes)):
         if k:
-            before, found = found, stored(found, "decontaminate")
+            before, found = found, stored(found.mapInArrow(tidy(scan, "windows"), found.schema), "decontaminate")
             if k > 1:
-                discard(before.scanned)
-        source, found = found, _scan(found, items, window, text_col)
-        found.scanned = source
+                discard(before)
+        scan = _scan(found, items, window, text_col)
     place = keep.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in scan(batches):  # in the same worker: two a task would stay for the rest of the session
             rows = []
             for t, flat, ids in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 n = len(words_of(t))
@@ -168,7 +167,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*batch.schema.names[:-2], *new[:7]])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema)
-    return found.mapInArrow(run, f"{schema}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start:int,end:int>>")
+    return found.mapInArrow(tidy(run, "windows"), f"{schema}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start:int,end:int>>")
 
 
 def clean_of_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

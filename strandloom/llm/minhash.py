@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import maybe_broadcast, split_batches, stored
+from strandloom.llm.common import maybe_broadcast, split_batches, stored, tidy
 from strandloom.llm.near_groups import Joined, labelled, near_classes, with_centres
 
 SHINGLE = 5
@@ -222,7 +222,7 @@ def document_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "do
                 batch = big.slice(at, TEXTS)
                 yield signed(batch.column(0), batch.column(1).to_pylist())
 
-    every = stored(source.mapInArrow(run, "doc_id long, f1 long, f2 long, bands array<long>, sketch array<long>"), "signatures")
+    every = stored(source.mapInArrow(tidy(run), "doc_id long, f1 long, f2 long, bands array<long>, sketch array<long>"), "signatures")
     known = every.where("doc_id is not null and f1 is not null")
     nodes = stored(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), "texts")
     own = known.join(nodes.withColumnRenamed("id", "doc_id"), ["f1", "f2", "doc_id"], "left_semi").withColumnRenamed("doc_id", "id")
@@ -241,7 +241,7 @@ def document_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "do
         texts = texts_of(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))))
         told = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"{name}_text"))
         side = pairs.join(told("a"), "a").join(told("b"), "b").select("a", "b", "a_text", "b_text")
-        return side.mapInArrow(lambda batches: linked(batches, similarity), "a long, b long").distinct()
+        return side.mapInArrow(tidy(lambda batches: linked(batches, similarity)), "a long, b long").distinct()
 
     def near(x: str, y: str):
         apart = lambda k: F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) + F.bit_count(F.col(x)[k + 1].bitwiseXOR(F.col(y)[k + 1]))

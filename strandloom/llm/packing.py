@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from strandloom.llm.common import split_batches
+from strandloom.llm.common import split_batches, tidy
 from strandloom.llm.wordcache import WordCache
 
 #: Sequence ids are the partition's number times this plus a number within it.
@@ -137,4 +137,4 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
             yield batch_of(rows)
 
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-    return docs.select(id_col, text_col, *([prompt_col] if prompt_col else [])).mapInArrow(run, schema + ", ids binary" * with_ids)
+    return docs.select(id_col, text_col, *([prompt_col] if prompt_col else [])).mapInArrow(tidy(run, "tokenizers"), schema + ", ids binary" * with_ids)

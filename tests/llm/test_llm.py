@@ -738,3 +738,30 @@ def test_groups_of_lines_in_any_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size], strict=True), kinds, strict=True)], ["key", "part", "id", "class", "simhash", "line"]) for k in range(0, 120, size)]
         got = [tuple(r.values()) for b in line_dedup.connected(iter(batches), 0.8, 16) for r in b.to_pylist()]
         assert set(got) <= set(links) and roots(got + same, 120) == roots(links + same, 120)
+
+
+def test_benchmark_is_found_by_one_worker_a_task(spark):
+    df = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four five")], "item_id long, text string")
+    for shard in (1 << 20, 10):
+        found = decontaminate.find_benchmark(df, bench, window=2, shard_bytes=shard)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert [(r.doc_id, r.n_hit) for r in found.orderBy("doc_id").collect()] == [(1, 3), (2, 0)]
+
+
+def test_workers_drop_what_other_operators_left():
+    def run(batches):
+        yield len(common.process_cache("tables"))
+        common.process_cache("tables")["x"] = 1
+
+    assert list(common.tidy(run, "tables")([])) == [0] and list(common.tidy(run, "tables")([])) == [1]
+    assert list(common.tidy(iter)([2])) == [2] and common.process_cache("tables") == {}
+
+
+def test_stages_end_by_giving_memory_back(spark, docs, monkeypatch):
+    used = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema, *a, f=type(docs).mapInArrow, **b: used.append(run.__qualname__) or f(df, run, schema, *a, **b))
+    minhash.document_classes(docs)
+    packing.pack(docs)
+    decontaminate.find_benchmark(docs, spark.createDataFrame([(1, "one")], "item_id long, text string"))
+    assert used and set(used) == {"tidy.<locals>.whole"}
