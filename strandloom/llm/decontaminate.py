@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import discard, process_cache, split_batches, stored, tidy
+from strandloom.llm.common import discard, process_cache, small_batches, split_batches, stored, tidy
 
 #: Each byte as it stands among words: A-Z lower-cased, other ASCII beside digits and a-z a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -140,6 +140,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_
 
     Columns of docs with these names are replaced.
     """
+    small_batches(docs.sparkSession)
     new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans", "__ranges", "__items"]
     keep = docs.drop(*new)
     found = keep.withColumns({"__ranges": F.expr("cast(array() as array<int>)"), "__items": F.expr("cast(array() as array<string>)")})

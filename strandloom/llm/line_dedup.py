@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import maybe_broadcast, split_batches, stored, tidy
+from strandloom.llm.common import maybe_broadcast, small_batches, split_batches, stored, tidy
 from strandloom.llm.near_groups import Joined, labelled, near_classes
 
 #: Bits in which SimHashes may differ that blocks of bits bring together without loss.
@@ -480,6 +480,7 @@ def connected(batches, least: float, reach: int):
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text", reach: int = MOST_BITS) -> DataFrame:
     """(doc_id, line_no, fuzzy) of each line that is to be removed; fuzzy: not equal to the one that stays."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = stored(lines_of(source, least_words, reach > MOST_BITS), "lines", hashes=True)
     first = F.min(F.struct("doc_id", "line_no")).alias("first")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import maybe_broadcast, split_batches, stored, tidy
+from strandloom.llm.common import maybe_broadcast, small_batches, split_batches, stored, tidy
 from strandloom.llm.near_groups import Joined, labelled, near_classes, with_centres
 
 SHINGLE = 5
@@ -214,6 +214,7 @@ def connecting(table: pa.Table, similarity: float) -> pa.Table:
 
 def document_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: the id and class_id, the least id of its class."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from strandloom.llm.common import split_batches, tidy
+from strandloom.llm.common import small_batches, split_batches, tidy
 from strandloom.llm.wordcache import WordCache
 
 #: Sequence ids are the partition's number times this plus a number within it.
@@ -106,6 +106,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
     """
     if max_tokens < 1 or any(x is not None and x < 1 for x in (max_segments, max_loss)):
         raise ValueError("limits must be positive")
+    small_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
     kind = docs.schema[id_col].dataType.simpleString()
     types = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64()), ("ids", pa.binary())]

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import discard, maybe_broadcast, small_enough, split_batches, stored, tidy
+from strandloom.llm.common import discard, maybe_broadcast, small_batches, small_enough, split_batches, stored, tidy
 
 CLASSES = 10
 #: Learning documents of a class in a block, on average.
@@ -259,6 +259,7 @@ def held_out(id_col: str = "doc_id"):
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_labels: int | None = None, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Ranking:
     """The ranking learnt from all labelled documents that aren't held out; from at most most_labels of each class only if that is given."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("key")).agg((F.avg(label_col) >= 0.5).alias("good"))
     # a label without a document is none of the learning documents
     known = stored(known.join(docs.select(F.col(id_col).alias("key")), "key", "left_semi"), "labelled")

@@ -765,3 +765,15 @@ def test_stages_end_by_giving_memory_back(spark, docs, monkeypatch):
     packing.pack(docs)
     decontaminate.find_benchmark(docs, spark.createDataFrame([(1, "one")], "item_id long, text string"))
     assert used and set(used) == {"tidy.<locals>.whole"}
+
+
+def test_workers_get_batches_of_bounded_size(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+    df = spark.range(40).select("id", F.repeat(F.lit("x"), 1 << 20).alias("text")).coalesce(1)
+    packing.pack(df, id_col="id")
+    assert max(r.size for r in df.mapInArrow(sizes, "size long").collect()) < 2 * common.BATCH_BYTES
